@@ -21,10 +21,12 @@ SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apik
 EXAMPLE_WORDS = ("example", "sample", "dummy", "test", "fake", "placeholder", "xxxx", "changeme", "checksum", "sha256", "sha1", "md5", "commit", "uuid", "digest", "hash")
 SYLLABLES = ("the", "ing", "and", "ion", "ent", "ter", "est", "ers", "ati", "hat", "con", "tion", "ment", "que", "les", "eur", "ung", "ein", "sch", "der", "ado", "ción", "par", "for")
 
-#: A candidate: 16 or more key characters with a digit among them. Up to three words
-#: before and two after it are read with it.
-CANDIDATE = r"[A-Za-z0-9_+/=.-]{16,}"
-FIND = r"((?:[^\s\"'=:]+[\s\"'=:]+){0,3})(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])(" + CANDIDATE + r")(?=((?:[\"'\s]+[^\s\"']+){0,2}))"
+#: A candidate: 16 or more key characters with a digit among them. A text is cut into
+#: words at all other ASCII characters; up to three words before a candidate and two
+#: after it are read with it, and a name before "=" in its own word.
+CANDIDATE = r"(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}"
+BREAK = r"[\x00-\x2A\x2C\x3A-\x3C\x3E-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+NAMED = r"^([A-Za-z_.-]*)=+(?=[A-Za-z0-9_+/=.-]{16})"
 FEATURES = ("length", "digits", "transitions", "distinct", "coverage", "hexadecimal", "secret_word", "example_word", "bad_path")
 _STEPS = 16
 
@@ -150,12 +152,18 @@ def scan(docs: DataFrame, forest: list[dict], threshold: float = 0.5, path: Colu
     Returns (doc_id, ordinal, value_sha256, length, before, score, is_secret): the
     value itself is given as a digest only. ``path`` names the text's place where
     there is one. Null and empty texts have no candidates; repeated rows repeat
-    their findings; an empty table gives no rows. A text's candidates are matched
-    left to right without overlap.
+    their findings; an empty table gives no rows. ``ordinal`` rises with a finding's
+    place in the text.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", (path if path is not None else F.lit("")).alias("path"), F.regexp_extract_all(text, F.lit(FIND), F.lit(1)).alias("b"), F.regexp_extract_all(text, F.lit(FIND), F.lit(2)).alias("v"), F.regexp_extract_all(text, F.lit(FIND), F.lit(3)).alias("a"))
-    found = found.select("doc_id", "path", F.posexplode(F.arrays_zip("b", "v", "a")).alias("ordinal", "m"))
-    found = found.select("doc_id", "path", "ordinal", F.col("m.b").alias("before"), F.col("m.v").alias("value"), F.col("m.a").alias("after"))
+    found = docs.select("doc_id", (path if path is not None else F.lit("")).alias("path"), F.split(F.coalesce(F.col("text"), F.lit("")), BREAK).alias("words"))
+    # short words are passed over before any pattern is tried
+    seen = """filter(transform(words, (w, i) -> if(length(w) >= 16 and w rlike '[0-9]',
+        struct(slice(words, greatest(i - 2, 1), least(i, 3)) as before, w as word, slice(words, i + 2, 2) as after), null)), x -> x is not null)"""
+    found = found.select("doc_id", "path", F.posexplode(F.expr(seen)).alias("i", "m"))
+    name = F.regexp_extract("m.word", NAMED, 1)
+    values = F.regexp_extract_all(F.regexp_replace("m.word", NAMED, ""), F.lit(CANDIDATE), F.lit(0))
+    found = found.select("doc_id", "path", "i", F.concat_ws(" ", "m.before", name).alias("before"), F.concat_ws(" ", "m.after").alias("after"), F.posexplode(values).alias("j", "value"))
+    # a text's words come in order from one row, so a place is (word, run) in one number
+    found = found.select("doc_id", "path", (F.col("i") * 1000 + F.col("j")).alias("ordinal"), "before", "value", "after")
     scored = with_features(found).withColumn("score", forest_score(forest))
     return scored.select("doc_id", "ordinal", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), F.trim("before").alias("before"), "score", (F.col("score") >= threshold).alias("is_secret"))

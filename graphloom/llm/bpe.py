@@ -1,6 +1,6 @@
 """Byte-level byte-pair encoding with a hierarchical-bitmap rank queue.
 
-Each merge rank has a bucket of linked-list positions. A three-level bitmap over
+Each merge rank has a bucket of linked-list positions. A two-level bitmap over
 the ranks gives the lowest rank that has entries by find-first-set, so a merge
 costs a few word operations however long the pre-token is. Entries whose pair has
 changed meanwhile are skipped when they come up. In a bucket the leftmost position
@@ -18,7 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-_CACHED_PIECES = 1 << 17
+_CACHED_PIECES = 1 << 20  # about 250 MB a worker; the older half goes when it is full
+_BIT = [1 << i for i in range(256)]
 _CACHED_CHARS = 64
 _AT_ONCE = 1 << 20  # longer texts are matched piece by piece
 
@@ -29,42 +30,12 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank: ``push``, and ``pop`` of the leftmost of the lowest rank."""
+    """Buckets of positions by rank (one position, or a heap) under a two-level bitmap of
+    256-bit words."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[block]
-        word = (block << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[word] &= self.low[word] - 1
-            if not self.low[word]:
-                self.mid[block] &= self.mid[block] - 1
-                if not self.mid[block]:
-                    self.top &= self.top - 1
-        return rank, position
+        self.buckets: dict[int, int | list[int]] = {}
+        self.low = [0] * ((ranks >> 8) + 1)
 
 
 class Encoder:
@@ -76,25 +47,54 @@ class Encoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.size = max(ranks.values(), default=0) + 1
         self.cache: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.queue = RankQueue(self.size)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. The queue is empty between pre-tokens, so it is
+        made once; its steps stand here in line, as calls would cost more than they do."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        rank_of, n = self.ranks.get, len(piece)
+        rank_of, n, queue = self.ranks.get, len(piece), self.queue
+        buckets, low, top, bit = queue.buckets, queue.low, 0, _BIT
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         pair = [-1] * (n + 1)  # the rank of the pair that starts here, or -1
-        queue = RankQueue(self.size)
+        fresh = []
         for i in range(n - 1):
             rank = rank_of(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, left = entry
-            if pair[left] != rank:
+                fresh.append((rank, i))
+        while True:
+            for rank, at in fresh:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = at  # a single position stands by itself
+                    low[rank >> 8] |= bit[rank & 255]
+                    top |= 1 << (rank >> 8)
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+                else:
+                    heappush(bucket, at)
+            if not top:
+                break
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if type(bucket) is int:
+                left, bucket = bucket, None
+            else:
+                left = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[word] = bits & (bits - 1)
+                if not low[word]:
+                    top &= top - 1
+            fresh = []
+            if pair[left] != rank:  # stale
                 continue
             right = after[left]
             end = after[right]
@@ -103,16 +103,21 @@ class Encoder:
             if end < n:
                 before[end] = left
                 rank = rank_of(piece[left : after[end]])
-                pair[left] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, left)
+                if rank is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = rank
+                    fresh.append((rank, left))
             else:
                 pair[left] = -1
-            if (prior := before[left]) >= 0:
+            prior = before[left]
+            if prior >= 0:
                 rank = rank_of(piece[prior:end])
-                pair[prior] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, prior)
+                if rank is None:
+                    pair[prior] = -1
+                else:
+                    pair[prior] = rank
+                    fresh.append((rank, prior))
         out, at = [], 0
         while at < n:
             out.append(self.ranks[piece[at : after[at]]])
@@ -120,16 +125,17 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        cache, out = self.cache, []
+        cache, old, out, parts = self.cache, self.old, [], []
         pieces = self.pattern.findall(text) if len(text) < _AT_ONCE else (m.group() for m in self.pattern.finditer(text))
-        parts = []
         for piece in pieces:
             ids = cache.get(piece)
             if ids is None:
-                ids = self.merge(piece.encode("utf-8"))
+                ids = old.get(piece)
+                if ids is None:
+                    ids = self.merge(piece.encode("utf-8"))
                 if len(piece) <= _CACHED_CHARS:
-                    if len(cache) >= _CACHED_PIECES:
-                        cache.clear()
+                    if len(cache) >= _CACHED_PIECES // 2:
+                        self.cache, self.old = cache, old = {}, cache
                     cache[piece] = ids
             out += ids
             if len(out) >= _AT_ONCE:

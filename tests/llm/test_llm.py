@@ -214,14 +214,6 @@ def test_bpe_matches_the_library(spark, docs):
     assert bpe.encode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_rank_queue_pops_the_lowest_rank_then_the_leftmost():
-    rng, queue = random.Random(4), bpe.RankQueue(50_000)
-    items = [(rng.randrange(50_000), rng.randrange(1000)) for _ in range(3000)]
-    for r, p in items:
-        queue.push(r, p)
-    assert [queue.pop() for _ in items] == sorted(items) and queue.pop() is None
-
-
 @pytest.mark.parametrize("block", [1, 7, 1 << 20])
 def test_token_files(spark, docs, block):
     _, other = reference_encoder()

@@ -369,6 +369,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", (both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).alias("linked"))
 
 
+def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Stored pairs, verified; only the sets of classes in a pair are made."""
+    spark = pairs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    wanted = spark.sparkContext.broadcast(_bitmap(ids))
+    sets = stored(_shingle_sets(docs, k, wanted), "ngram-sets")
+    return stored(_verified(pairs, sets, percent), "ngram-checked")
+
+
 def _forest(edges: DataFrame) -> DataFrame:
     """Each task's edges as stars of its own components: fewer edges, same components."""
 
@@ -436,16 +445,15 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     frequencies = spark.sparkContext.broadcast(_frequencies(scan.filter("c is not null").select("c", "b")))
     index = _index_rows(docs, k, limit, frequencies)
     index = index.repartition("key").sortWithinPartitions("key", "n", "cid")
-    shared = stored(_trees(index), "ngram-trees")
+    shared = stored(_trees(index, limit), "ngram-trees")
     near = stored(_near_pairs(shared.repartition("key").sortWithinPartitions("key", "n", "cid"), limit), "ngram-near")
-    wanted = spark.sparkContext.broadcast(_bitmap(shared.select("cid")))
-    sets = stored(_shingle_sets(docs, k, wanted), "ngram-sets")
-    first = stored(_verified(near, sets, percent), "ngram-first")
+    first = _checked(near, docs, k, percent)
     comps = components(first.filter("linked"))
     named = shared.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    far = _far_pairs(named, limit).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = stored(_verified(far, sets, percent), "ngram-second").filter("linked")
-    comps = components(first.filter("linked").select("a", "b").unionByName(second.select("a", "b")))
+    far = stored(_far_pairs(named, limit).join(first.select("a", "b"), ["a", "b"], "left_anti"), "ngram-far")
+    if not far.isEmpty():
+        second = _checked(far, docs, k, percent)
+        comps = components(first.unionByName(second).filter("linked"))
     least = rows.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     least = least.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = least.join(least.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cid", "component_id")
@@ -454,37 +462,55 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     return found.unionByName(alone)
 
 
-def _trees(index: DataFrame) -> DataFrame:
-    """Rows of trees with at least two classes; single rows and a class's repeats from
-    other tasks are left out. Rows come dealt and sorted by (key, n, cid); one row is
-    carried from batch to batch."""
+def _trees(index: DataFrame, limit: Threshold) -> DataFrame:
+    """Rows of trees in which some other row may link with them; a class's repeats from
+    other tasks are left out. Rows come dealt and sorted by (key, n, cid). Trees of
+    over ``_LEAF`` rows pass whole, in pieces, so what is carried on is bounded."""
+    names = ["key", "cid", "n", "at", "point"]
+
+    def some(batch, whole: set):
+        """The rows to keep of complete trees; ``whole``: keys of trees that pass as they are."""
+        key, cid, n, at = (np.asarray(batch.column(c)) for c in range(4))
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        size_of = np.repeat(sizes, sizes)
+        keep = size_of > _LEAF
+        for k in whole:
+            keep |= key == k
+        pick = np.flatnonzero((size_of > 1) & ~keep)
+        if len(pick):
+            k, c, m, t = key[pick], cid[pick], n[pick], at[pick]
+            points = _points(batch.column(4).take(pa.array(pick)))
+            for step in range(1, int(size_of[pick].max())):
+                i = np.flatnonzero(k[step:] == k[:-step])
+                i = i[_may_link(limit, m, t, points, i, i + step)]
+                keep[pick[i]] = keep[pick[i + step]] = True
+        return batch.take(pa.array(np.flatnonzero(keep))) if keep.any() else None
 
     def run(batches):
-        prior, sent = None, True
+        rest, whole = None, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             key, cid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
-            if prior is not None:
-                new[0] = prior.column(0)[0].as_py() != key[0] or prior.column(1)[0].as_py() != cid[0]
-            keep = np.flatnonzero(new)
-            if not len(keep):
-                continue
-            k = key[keep]
-            shared = np.zeros(len(k), bool)
-            shared[1:] |= k[1:] == k[:-1]
-            shared[:-1] |= k[1:] == k[:-1]
-            if prior is not None and prior.column(0)[0].as_py() == k[0]:
-                shared[0] = True
-                if not sent:
-                    yield prior
-            if shared.any():
-                yield batch.take(pa.array(keep[shared]))
-            prior, sent = batch.take(pa.array(keep[-1:])), bool(shared[-1])
-
-    return index.mapInArrow(run, "key long, cid long, n long, at long, point binary")
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])))
+            if not new.all():
+                batch = batch.take(pa.array(np.flatnonzero(new)))
+                key = key[new]
+            cut = int(np.flatnonzero(key == key[-1])[0])
+            if len(key) - cut > _LEAF or key[-1] in whole:
+                whole.add(int(key[-1]))
+                out, rest, whole = some(batch, whole), None, {int(key[-1])}
+            else:
+                out, rest = (some(batch.slice(0, cut), whole) if cut else None), batch.slice(cut)
+            if out is not None:
+                yield out
+        if rest is not None and (out := some(rest, whole)) is not None:
+            yield out
+
+    return index.select(*names).mapInArrow(run, "key long, cid long, n long, at long, point binary")
 
 
 def _by_class(rows: DataFrame, least: DataFrame, share: int = 1000) -> DataFrame:

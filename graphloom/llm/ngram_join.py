@@ -123,44 +123,48 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, k: int, kind: str) -> DataFrame:
-    """First pass: class and set size of every document, and each task's part of the
-    frequency table."""
+    """First pass: class, set size and point of every document, and each task's part of
+    the frequency table."""
     of, size = _sets(docs, k), 1 << _SKETCH_BITS
 
     def run(batches):
         total, blank = np.zeros(size, np.int64), None
         for batch in batches:
-            n, cid = [], []
+            n, cid, points = [], [], []
             for s in of(batch, 1):
                 n.append(len(s))
                 cid.append(class_of(s) if len(s) else None)
+                points.append(group_counts(s).tobytes() if len(s) else None)
                 np.add.at(total, (s >> np.uint64(20)).astype(np.int64) & (size - 1), 1) if len(s) < 1024 else np.add(
                     total, np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size), out=total
                 )
             blank = batch.column(0).type
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "cid", "c", "b"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(points, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())],
+                names=["doc_id", "n", "cid", "point", "c", "b"],
             )
         if blank is not None:
             step = size >> 4
             at = list(range(0, size, step))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(16, blank), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(at, pa.int64()), pa.array([np.minimum(total[a : a + step], 2**31 - 1).astype(np.int32).tobytes() for a in at], pa.binary())],
-                names=["doc_id", "n", "cid", "c", "b"],
+                [pa.nulls(16, blank), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(at, pa.int64()), pa.array([np.minimum(total[a : a + step], 2**31 - 1).astype(np.int32).tobytes() for a in at], pa.binary())],
+                names=["doc_id", "n", "cid", "point", "c", "b"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, c long, b binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, point binary, c long, b binary")
 
 
 def _index_rows(docs: DataFrame, k: int, limit: Threshold, frequencies) -> DataFrame:
-    """Second pass: for each class (once a task) a row for each prefix shingle."""
+    """Second pass: for each class (once a task) a row for each prefix shingle. ``place``
+    packs the set's size (upper half) and the shingle's place in the prefix: most rows
+    are alone in their tree, so they are dealt without their points."""
     of = _sets(docs, k)
 
     def run(batches):
         often, done = frequencies.value, set()
         for batch in batches:
-            keys, cids, sizes, places, points = [], [], [], [], []
+            keys, cids, sizes = [], [], []
 
             def flush():
                 counts = [len(x) for x in keys]
@@ -168,13 +172,11 @@ def _index_rows(docs: DataFrame, k: int, limit: Threshold, frequencies) -> DataF
                     [
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array(np.repeat(np.array(cids, np.int64), counts)),
-                        pa.array(np.repeat(np.array(sizes, np.int64), counts)),
-                        pa.array(np.concatenate([np.arange(c, dtype=np.int64) for c in counts])),
-                        pa.array(np.repeat(np.array(points, object), counts), pa.binary()),
+                        pa.array((np.repeat(np.array(sizes, np.int64), counts) << 32) + np.concatenate([np.arange(c, dtype=np.int64) for c in counts])),
                     ],
-                    names=["key", "cid", "n", "at", "point"],
+                    names=["key", "cid", "place"],
                 )
-                for x in (keys, cids, sizes, places, points):
+                for x in (keys, cids, sizes):
                     x.clear()
                 return out
 
@@ -187,7 +189,6 @@ def _index_rows(docs: DataFrame, k: int, limit: Threshold, frequencies) -> DataF
                 keys.append(s[order[: limit.prefix(len(s))]])
                 cids.append(cid)
                 sizes.append(len(s))
-                points.append(group_counts(s).tobytes())
                 held += len(keys[-1])
                 if held > 20_000:
                     yield flush()
@@ -195,7 +196,7 @@ def _index_rows(docs: DataFrame, k: int, limit: Threshold, frequencies) -> DataF
             if keys:
                 yield flush()
 
-    return docs.select("text").mapInArrow(run, "key long, cid long, n long, at long, point binary")
+    return docs.select("text").mapInArrow(run, "key long, cid long, place long")
 
 
 def _points(column) -> np.ndarray:
@@ -204,19 +205,20 @@ def _points(column) -> np.ndarray:
 
 def _may_link(limit: Threshold, n, at, points, i, j) -> np.ndarray:
     """Whether rows i and j of one tree can be similar: by size, by place in the
-    prefix order, and by the sum of coordinate minima."""
+    prefix order, and by the sum of coordinate minima where points are given."""
     need = limit.need(n[i], n[j])
     ok = (np.minimum(n[i], n[j]) >= need) & (1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need)
     at_all = np.flatnonzero(ok)
-    if len(at_all):
+    if points is not None and len(at_all):
         ok[at_all] = overlap_bound(points[i[at_all]], points[j[at_all]]) >= need[at_all]
     return ok
 
 
 def _near_pairs(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """Round one over rows dealt and sorted by (key, n, cid): neighbours in a tree, and
-    members with their run's medoid. Holds one batch at a time (plus the row before
-    it), so a tree of any size streams through."""
+    """Round one over rows sorted by (key, n, cid) in stored files: neighbours in a tree,
+    and members with their run's medoid. Holds one batch at a time (plus the row before
+    it), so a tree of any size streams through. Where a reader cuts a tree in two, the
+    pairs across the cut are left to round two."""
 
     def run(batches):
         last = None
@@ -374,8 +376,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     spark = pairs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     wanted = spark.sparkContext.broadcast(_bitmap(ids))
-    sets = stored(_shingle_sets(docs, k, wanted), "ngram-sets")
-    return stored(_verified(pairs, sets, percent), "ngram-checked")
+    # both joins read the one exchange by class, so sets are dealt once
+    return stored(_verified(pairs, _shingle_sets(docs, k, wanted), percent), "ngram-checked")
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -443,10 +445,11 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     scan = stored(_scan(docs, k, dict(docs.dtypes)["doc_id"]), "ngram-scan")
     rows = scan.filter("c is null").select("doc_id", "n", "cid")
     frequencies = spark.sparkContext.broadcast(_frequencies(scan.filter("c is not null").select("c", "b")))
-    index = _index_rows(docs, k, limit, frequencies)
-    index = index.repartition("key").sortWithinPartitions("key", "n", "cid")
-    shared = stored(_trees(index, limit), "ngram-trees")
-    near = stored(_near_pairs(shared.repartition("key").sortWithinPartitions("key", "n", "cid"), limit), "ngram-near")
+    points = scan.filter("cid is not null").select("cid", "point").dropDuplicates(["cid"])
+    index = _index_rows(docs, k, limit, frequencies).repartition("key").sortWithinPartitions("key", "place", "cid")
+    shared = _trees(index, limit).join(points, "cid").select("key", "cid", "n", "at", "point")
+    shared = stored(_trees(shared.repartition("key").sortWithinPartitions("key", "n", "at", "cid"), limit), "ngram-trees")
+    near = stored(_near_pairs(shared, limit), "ngram-near")
     first = _checked(near, docs, k, percent)
     comps = components(first.filter("linked"))
     named = shared.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -464,9 +467,10 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
 def _trees(index: DataFrame, limit: Threshold) -> DataFrame:
     """Rows of trees in which some other row may link with them; a class's repeats from
-    other tasks are left out. Rows come dealt and sorted by (key, n, cid). Trees of
-    over ``_LEAF`` rows pass whole, in pieces, so what is carried on is bounded."""
-    names = ["key", "cid", "n", "at", "point"]
+    other tasks are left out. Rows come dealt and sorted by key, size, place and class:
+    from the index with ``place``, or with their points, which bound the overlap too.
+    Trees of over ``_LEAF`` rows pass whole, in pieces, so what is carried on is bounded."""
+    bounded = "point" in index.columns
 
     def some(batch, whole: set):
         """The rows to keep of complete trees; ``whole``: keys of trees that pass as they are."""
@@ -480,7 +484,7 @@ def _trees(index: DataFrame, limit: Threshold) -> DataFrame:
         pick = np.flatnonzero((size_of > 1) & ~keep)
         if len(pick):
             k, c, m, t = key[pick], cid[pick], n[pick], at[pick]
-            points = _points(batch.column(4).take(pa.array(pick)))
+            points = _points(batch.column(4).take(pa.array(pick))) if bounded else None
             for step in range(1, int(size_of[pick].max())):
                 i = np.flatnonzero(k[step:] == k[:-step])
                 i = i[_may_link(limit, m, t, points, i, i + step)]
@@ -492,6 +496,9 @@ def _trees(index: DataFrame, limit: Threshold) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if not bounded:
+                place = np.asarray(batch.column(2))
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF)], names=["key", "cid", "n", "at"])
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             key, cid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -510,7 +517,9 @@ def _trees(index: DataFrame, limit: Threshold) -> DataFrame:
         if rest is not None and (out := some(rest, whole)) is not None:
             yield out
 
-    return index.select(*names).mapInArrow(run, "key long, cid long, n long, at long, point binary")
+    if bounded:
+        return index.select("key", "cid", "n", "at", "point").mapInArrow(run, "key long, cid long, n long, at long, point binary")
+    return index.select("key", "cid", "place").mapInArrow(run, "key long, cid long, n long, at long")
 
 
 def _by_class(rows: DataFrame, least: DataFrame, share: int = 1000) -> DataFrame:

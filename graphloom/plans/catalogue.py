@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import routes, text as tx
 from ..functions.unique import exactly_one, first_tier
-from ..operators import cluster, constraints, coverage, deadcode, featuremap, navigate, reach, search, structure, traverse
+from ..operators import audit, cluster, constraints, coverage, deadcode, featuremap, navigate, python_source, reach, resolve, search, structure, traverse
 from .graph import EvidenceGraph, commerce_graph
 from .oracle import over_graph, tokens
 
@@ -413,7 +413,7 @@ def source_slice(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.array_join(F.slice(parts, 2, 3), "\n").alias("slice"), F.size(parts).cast("long").alias("lines"))
 
 
-@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where doc_id % 5 = 0 or true), w as (select distinct doc_id, line, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*')) as name from l), f as (select doc_id, name, min(line) as line, count(distinct line) as n from w group by all) select doc_id::varchar as path, name, line::int as line_start from f where n = 1")
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents), w as (select distinct doc_id, line, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*')) as name from l), f as (select doc_id, name, min(line) as line, count(distinct line) as n from w group by all) select doc_id::varchar as path, name, line::int as line_start from f where n = 1")
 def word_boundary_unused(spark, d):
     """Words that stand on one line of a text alone: names whose every use is there."""
     files = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
@@ -441,3 +441,70 @@ def test_path_predicate(spark, d):
     n = _read(spark, d, "nation")
     p = n.select(F.concat(F.lit("src/nation/"), F.col("n_nationkey").cast("string"), F.lit(".ts")).alias("path")).union(n.select(F.concat(F.lit("tests/brand_"), F.col("n_nationkey").cast("string"), F.lit(".py"))))
     return p.select("path", tx.is_test_path(F.col("path")).alias("test"))
+
+
+# ---- frontends, resolvers and the audit -------------------------------------
+
+
+@query(r"with f as (select 'src/m' || p_partkey as base, ['.ts', '.tsx', '.js', '/index.ts', '/index.js'][p_size % 5 + 1] as ending from part union select 'src/m' || s_suppkey, '.ts' from supplier), i as (select distinct 'src/c' || l_suppkey || '.ts' as path, './m' || l_partkey || case when l_linenumber = 1 then '.js' else '' end as source from lineitem), c as (select path, source, base || ending as target, case when ending like '/%' then 2 else 1 end as tier from i join f on base = 'src/' || regexp_replace(source[3:], '\.js$', '') where not (source like '%.js' and ending like '/%')), b as (select path, source, tier, min(target) as lo, max(target) as hi from c group by all), t as (select path, source, min(tier) as tier from b group by all) select path, source, lo as target from b join t using (path, source, tier) where lo = hi")
+def import_candidate_resolution(spark, d):
+    """Relative script imports among files made of part and supplier keys."""
+    ending = F.element_at(F.array(*map(F.lit, (".ts", ".tsx", ".js", "/index.ts", "/index.js"))), F.col("p_size") % 5 + 1)
+    files = _read(spark, d, "part").select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), ending).alias("path"))
+    files = files.union(_read(spark, d, "supplier").select(F.concat(F.lit("src/m"), F.col("s_suppkey").cast("string"), F.lit(".ts")))).distinct()
+    source = F.concat(F.lit("./m"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") == 1, ".js").otherwise(""))
+    imports = _read(spark, d, "lineitem").select(F.concat(F.lit("src/c"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("path"), source.alias("source"))
+    return resolve.script_targets(imports, files)
+
+
+@query("with f as (select 'pkg_' || c_nationkey || '/mod_' || c_custkey || '.py' as path, c_custkey as k from customer union select 'pkg_' || s_nationkey || '/mod_' || s_suppkey || '.py', s_suppkey from supplier), o as (select k, min(path) as target from f group by k having count(*) = 1) select 'app/main_' || p_size || '.py' as path, 'mod_' || p_partkey as source, target from part join o on k = p_partkey")
+def unique_suffix_resolution(spark, d):
+    """Absolute module imports, by the only file whose path ends so."""
+    named = lambda nation, key: F.concat(F.lit("pkg_"), F.col(nation).cast("string"), F.lit("/mod_"), F.col(key).cast("string"), F.lit(".py")).alias("path")
+    files = _read(spark, d, "customer").select(named("c_nationkey", "c_custkey")).union(_read(spark, d, "supplier").select(named("s_nationkey", "s_suppkey"))).distinct()
+    imports = _read(spark, d, "part").select(F.concat(F.lit("app/main_"), F.col("p_size").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("mod_"), F.col("p_partkey").cast("string")).alias("source"))
+    return resolve.python_targets(imports, files)
+
+
+@query("select a.l_orderkey as file_id, a.l_linenumber::bigint as inner_id, b.l_linenumber::bigint as outer_id from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey where b.l_partkey <= a.l_partkey and b.l_partkey + b.l_suppkey >= a.l_partkey + a.l_suppkey and (b.l_partkey < a.l_partkey or b.l_partkey + b.l_suppkey > a.l_partkey + a.l_suppkey)")
+def interval_containment(spark, d):
+    """Ranges of an order's items that lie strictly inside another's."""
+    r = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("node_id"), F.col("l_partkey").alias("line_start"), (F.col("l_partkey") + F.col("l_suppkey")).alias("line_end"))
+    return resolve.containing(r, r)
+
+
+_LAYOUTS = {
+    "app/(shop)/{}/[id]/page.tsx": ("page", "/{}/:id"), "src/app/{}/[...rest]/route.ts": ("http", "/{}/*rest"), "pages/api/{}/[id].js": ("http", "/api/{}/:id"),
+    "src/routes/{}/+server.ts": ("http", "/{}"), "src/routes/{}/[slug]/+page.svelte": ("page", "/{}/:slug"), "app/routes/{}.$id.tsx": ("http", "/{}/:id"),
+    "app/{}/_layout.tsx": ("page", "/{}"), "src/pages/{}/index.astro": ("page", "/{}"), "lib/{}.ts": (None, None),
+}
+
+
+@query(" union all ".join("select replace('{}', '{{}}', 'n' || n_nationkey) as path, {} as kind, {} as route from nation".format(p, f"'{k}'" if k else "null::varchar", f"replace('{r}', '{{}}', 'n' || n_nationkey)" if r else "null::varchar") for p, (k, r) in _LAYOUTS.items()))
+def file_routes(spark, d):
+    """Routes that files declare by their place, over every layout."""
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    paths = _read(spark, d, "nation").select(F.explode(F.array(*(F.replace(F.lit(p), F.lit("{}"), name) for p in _LAYOUTS))).alias("path"))
+    return paths.withColumn("r", routes.file_route(F.col("path"))).select("path", "r.kind", "r.route")
+
+
+@query("with s as (select ['IMPLEMENTED_DOCUMENTED','IMPLEMENTED_UNDOCUMENTED','DOCUMENTED_NOT_IMPLEMENTED','PARTIALLY_IMPLEMENTED','AMBIGUOUS'][o_orderpriority[1]::int] as status from orders), v as (select case l_returnflag when 'R' then 'VALIDATION_REQUIRED' when 'A' then 'VALIDATED_SAFE_TO_DELETE' end as verdict from lineitem) select (select count(*) from s where status = 'IMPLEMENTED_DOCUMENTED') as implemented_documented, (select count(*) from s where status = 'IMPLEMENTED_UNDOCUMENTED') as implemented_undocumented, (select count(*) from s where status = 'DOCUMENTED_NOT_IMPLEMENTED') as documented_not_implemented, (select count(*) from s where status = 'PARTIALLY_IMPLEMENTED') as partially_implemented, (select count(*) from s where status = 'AMBIGUOUS') as ambiguous, (select count(*) from v) as dead_code_candidates, (select count(*) from v where verdict = 'VALIDATION_REQUIRED') as ready_for_delete_validation, (select count(*) from v where verdict = 'VALIDATED_SAFE_TO_DELETE') as validated_safe_to_delete")
+def audit_summary_pivot(spark, d):
+    status = F.element_at(F.array(*map(F.lit, audit.STATUSES)), F.substring("o_orderpriority", 1, 1).cast("int"))
+    verdict = F.when(F.col("l_returnflag") == "R", "VALIDATION_REQUIRED").when(F.col("l_returnflag") == "A", "VALIDATED_SAFE_TO_DELETE")
+    return audit.summary(_read(spark, d, "orders").select(status.alias("status")), _read(spark, d, "lineitem").select(verdict.alias("verdict")))
+
+
+@query()
+def best_promise_match(spark, d):
+    """No SQL form here: tests hold it against a plain version."""
+    gaps = _read(spark, d, "benchmark").select(F.col("item_id").alias("gap_id"), "text")
+    return audit.best_promise(gaps, _read(spark, d, "documents").select(F.col("doc_id").alias("promise_id"), "text"))
+
+
+@query()
+def python_frontend_facts(spark, d):
+    """Facts of one made-up module a nation: parsing has no SQL form."""
+    code = "import os\nfrom .base import run as go\n\nclass Nation:\n    def load(self):\n        return self.store(go(%s))\n    def store(self, x):\n        return os.fspath(x)\n"
+    files = _read(spark, d, "nation").select(F.concat(F.lit("n/m"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), F.format_string(code, F.col("n_nationkey").cast("string")).alias("text"))
+    return python_source.python_facts(files)

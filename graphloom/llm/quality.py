@@ -73,11 +73,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, epochs: int
             )
 
     def learn(batches):
-        table = [(i, v, y) for b in batches for y, i, v in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+        # views into the batches: the sample is held once
+        table = [(i.view(np.int32), v.view(np.float32), y) for b in batches for y, i, v in zip(b.column(1).to_pylist(), byte_views(b.column(2)), byte_views(b.column(3)))]
         model = Ftrl()
         for _ in range(epochs):
             for i, v, y in table:
-                model.learn(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y)
+                model.learn(i, v, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     seen = chosen.mapInArrow(extract, "draw string, label int, index binary, value binary")

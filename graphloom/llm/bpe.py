@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-_CACHED_PIECES = 1 << 19  # about 125 MB a worker; the older half goes when it is full
+_CACHED_PIECES = 1 << 19  # about 125 MB a worker; the older half goes when it is full, and with each task
 _BIT = [1 << i for i in range(256)]
 _CACHED_CHARS = 64
 _AT_ONCE = 1 << 20  # longer texts are matched piece by piece
@@ -195,6 +195,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.old = {}
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -4,23 +4,27 @@ Each merge rank has a bucket of linked-list positions. A two-level bitmap over
 the ranks gives the lowest rank that has entries by find-first-set, so a merge
 costs a few word operations however long the pre-token is. Entries whose pair has
 changed meanwhile are skipped when they come up. In a bucket the leftmost position
-goes first.
+goes first. Many pre-tokens go through one run of the queue, side by side, so that
+a short one costs no set-up of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-_CACHED_PIECES = 1 << 19  # about 125 MB a worker; the older half goes when it is full, and with each task
+_CACHED_PIECES = 1 << 19  # about 100 MB a worker; the older half goes when it is full, and with each task
 _BIT = [1 << i for i in range(256)]
 _CACHED_CHARS = 64
+_MERGED_AT_ONCE = 1000  # pre-tokens a run: the links of more do not fit the processor's cache
 _AT_ONCE = 1 << 20  # longer texts are matched piece by piece
 
 
@@ -30,11 +34,10 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank (one position, or a heap) under a two-level bitmap of
-    256-bit words."""
+    """Buckets of positions by rank under a two-level bitmap of 256-bit words."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, int | list[int]] = {}
+        self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((ranks >> 8) + 1)
 
 
@@ -45,108 +48,143 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.size = max(ranks.values(), default=0) + 1
-        self.cache: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.queue = RankQueue(self.size)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. The queue is empty between pre-tokens, so it is
-        made once; its steps stand here in line, as calls would cost more than they do."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        rank_of, n, queue = self.ranks.get, len(piece), self.queue
-        buckets, low, top, bit = queue.buckets, queue.low, 0, _BIT
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [-1] * (n + 1)  # the rank of the pair that starts here, or -1
-        fresh = []
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                fresh.append((rank, i))
-        while True:
-            for rank, at in fresh:
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = at  # a single position stands by itself
-                    low[rank >> 8] |= bit[rank & 255]
-                    top |= 1 << (rank >> 8)
-                elif type(bucket) is int:
-                    buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
-                else:
-                    heappush(bucket, at)
-            if not top:
-                break
+        self.byte_rank = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.pair_rank = np.array([ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)], np.int32)
+        self.cache: dict[str, bytes] = {}  # packed ids
+        self.old: dict[str, bytes] = {}
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens, none of them empty. All are merged in one run of
+        the queue, over positions in their concatenation; no pair crosses an end. The
+        queue is empty between runs; its steps stand here in line, as calls would cost
+        more than they do."""
+        data, n = b"".join(pieces), sum(map(len, pieces))
+        listed = (lambda x: x.tolist()) if n < _AT_ONCE else (lambda x: array("q", x.astype(np.int64).tobytes()))
+        codes = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(piece) for piece in pieces])
+        starts = ends - [len(piece) for piece in pieces]
+        pairs = np.full(n, -1, np.int32)  # the rank of the pair that starts here, or -1
+        pairs[:-1] = self.pair_rank[(codes[:-1].astype(np.int32) << 8) + codes[1:]]
+        pairs[ends - 1] = -1
+        edge = bytearray(n + 1)
+        np.frombuffer(edge, np.uint8)[np.append(starts, n)] = 1
+        gone = bytearray(n)
+        after, before = listed(np.arange(1, n + 1)), listed(np.arange(-1, n - 1))
+        pair, node = listed(pairs), listed(self.byte_rank[codes])
+        rank_of, buckets, low, top, bit = self.ranks.get, self.queue.buckets, self.queue.low, 0, _BIT
+        at = np.flatnonzero(pairs >= 0)
+        at = at[np.argsort(pairs[at], kind="stable")]
+        present, first = np.unique(pairs[at], return_index=True)
+        for rank, bucket in zip(present.tolist(), np.split(at, first[1:])):
+            buckets[rank] = bucket.tolist()
+            low[rank >> 8] |= bit[rank & 255]
+            top |= 1 << (rank >> 8)
+        while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = (word << 8) + (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            if type(bucket) is int:
-                left, bucket = bucket, None
-            else:
-                left = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                low[word] = bits & (bits - 1)
-                if not low[word]:
-                    top &= top - 1
-            fresh = []
-            if pair[left] != rank:  # stale
-                continue
-            right = after[left]
-            end = after[right]
-            pair[right] = -1
-            after[left] = end
-            if end < n:
-                before[end] = left
-                rank = rank_of(piece[left : after[end]])
-                if rank is None:
+            bucket = buckets.pop(rank)
+            low[word] = bits & (bits - 1)
+            if not low[word]:
+                top &= top - 1
+            bucket.sort()
+            lefts = iter(bucket)
+            for left in lefts:
+                if pair[left] != rank:  # stale
+                    continue
+                right = after[left]
+                end = after[right]
+                pair[right] = -1
+                gone[right] = 1
+                after[left] = end
+                node[left] = rank
+                lower = False
+                if edge[end]:
                     pair[left] = -1
                 else:
-                    pair[left] = rank
-                    fresh.append((rank, left))
-            else:
-                pair[left] = -1
-            prior = before[left]
-            if prior >= 0:
-                rank = rank_of(piece[prior:end])
-                if rank is None:
-                    pair[prior] = -1
-                else:
-                    pair[prior] = rank
-                    fresh.append((rank, prior))
-        out, at = [], 0
-        while at < n:
-            out.append(self.ranks[piece[at : after[at]]])
-            at = after[at]
+                    before[end] = left
+                    found = pair[left] = rank_of(data[left : after[end]], -1)
+                    if found >= 0:
+                        if found in buckets:
+                            buckets[found].append(left)
+                        else:
+                            buckets[found] = [left]
+                            low[found >> 8] |= bit[found & 255]
+                            top |= 1 << (found >> 8)
+                        lower = found < rank
+                if not edge[left]:
+                    prior = before[left]
+                    found = pair[prior] = rank_of(data[prior:end], -1)
+                    if found >= 0:
+                        if found in buckets:
+                            buckets[found].append(prior)
+                        else:
+                            buckets[found] = [prior]
+                            low[found >> 8] |= bit[found & 255]
+                            top |= 1 << (found >> 8)
+                        lower = lower or found < rank
+                if lower:  # that pair goes before the rest of this bucket
+                    if rest := list(lefts):
+                        buckets[rank] = rest
+                        low[word] |= bit[rank & 255]
+                        top |= 1 << word
+        kept = np.frombuffer(gone, np.uint8) == 0
+        packed = np.asarray(node, "<u4")[kept].tobytes()
+        cuts = (4 * np.append(0, np.cumsum(kept)[ends - 1])).tolist()
+        return [packed[cuts[i] : cuts[i + 1]] for i in range(len(pieces))]
+
+    def _packed(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts given as pre-tokens. What the cache lacks is merged first."""
+        if len(self.cache) >= _CACHED_PIECES // 2:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        lacking = set()
+        for pieces in texts:
+            lacking |= set(pieces).difference(cache)
+        new, raw = [], []
+        for piece in lacking:
+            ids = old.get(piece)
+            if ids is None:
+                data = piece.encode("utf-8")
+                whole = self.ranks.get(data)
+                if whole is None:
+                    new.append(piece)
+                    raw.append(data)
+                    continue
+                ids = whole.to_bytes(4, "little")
+            cache[piece] = ids
+        for i in range(0, len(new), _MERGED_AT_ONCE):
+            cache.update(zip(new[i : i + _MERGED_AT_ONCE], self.merge(raw[i : i + _MERGED_AT_ONCE])))
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in texts]
+        for piece in new:
+            if len(piece) > _CACHED_CHARS:
+                del cache[piece]
         return out
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; about ``_AT_ONCE`` characters are held at a time."""
+        held, chars = [], 0
+        for text in texts:
+            if len(text) < _AT_ONCE:
+                held.append(self.pattern.findall(text))
+                chars += len(text)
+            if chars >= _AT_ONCE or len(text) >= _AT_ONCE:
+                for packed in self._packed(held):
+                    yield np.frombuffer(packed, "<u4")
+                held, chars = [], 0
+            if len(text) >= _AT_ONCE:
+                pieces = (match.group() for match in self.pattern.finditer(text))
+                parts = iter(lambda: list(islice(pieces, _AT_ONCE // 4)), [])
+                yield np.frombuffer(b"".join(self._packed([part])[0] for part in parts), "<u4")
+        for packed in self._packed(held):
+            yield np.frombuffer(packed, "<u4")
+
     def encode(self, text: str) -> np.ndarray:
-        cache, old, out, parts = self.cache, self.old, [], []
-        pieces = self.pattern.findall(text) if len(text) < _AT_ONCE else (m.group() for m in self.pattern.finditer(text))
-        for piece in pieces:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = old.get(piece)
-                if ids is None:
-                    ids = self.merge(piece.encode("utf-8"))
-                if len(piece) <= _CACHED_CHARS:
-                    if len(cache) >= _CACHED_PIECES // 2:
-                        self.cache, self.old = cache, old = {}, cache
-                    cache[piece] = ids
-            out += ids
-            if len(out) >= _AT_ONCE:
-                parts.append(np.array(out, np.uint32))
-                out = []
-        parts.append(np.array(out, np.uint32))
-        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -182,8 +220,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
         own = encoder_of(ranks.value, pattern)
         for batch in batches:
             counts, shas, backs, lists = [], [], [], []
-            for text in batch.column(1):
-                ids = own.encode(text.as_py() or "")
+            for ids in own.encode_all(text.as_py() or "" for text in batch.column(1)):
                 counts.append(len(ids))
                 shas.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 backs.append(hashlib.sha256(own.decode(ids)).hexdigest())

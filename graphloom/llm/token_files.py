@@ -38,8 +38,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
         at = 0
         with fs.open_output_stream(draft) as out:
             for batch in batches:
-                for text in batch.column(1):
-                    out.write(own.encode(text.as_py() or "").astype(dtype).tobytes())
+                for ids in own.encode_all(text.as_py() or "" for text in batch.column(1)):
+                    out.write(ids.astype(dtype).tobytes())
                     out.write(end)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(

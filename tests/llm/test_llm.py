@@ -301,3 +301,18 @@ def test_pipeline_stages(spark):
         if name != "encode":
             assert after == corpus_pipeline.COLUMNS
     assert docs.count() > 100
+
+
+def test_bpe_pairs_of_lower_rank_that_come_up_late():
+    """Ranks in no order of lengths: a merge can bring up a pair that goes before the rest."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 9))).encode() for _ in range(2000)})
+    rng.shuffle(words)
+    ranks = {token: i for i, token in enumerate([bytes([i]) for i in range(256)] + words)}
+    library = tiktoken.Encoding("shuffled", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    texts = ["", "a" * 4000, "abc" * 3000] + ["".join(rng.choice("abc  ") for _ in range(rng.randrange(200))) for _ in range(400)]
+    assert [ids.tolist() for ids in own.encode_all(texts)] == [library.encode_ordinary(text) for text in texts]
+    long = "cab" * 500_000 + " a b" * 100_000  # beyond what is encoded at once
+    assert own.decode(own.encode(long)).decode() == long
+    assert not own.queue.buckets and not any(own.queue.low)

@@ -14,6 +14,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -34,7 +35,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank under a two-level bitmap of 256-bit words."""
+    """Buckets of positions by rank, each a heap, under a two-level bitmap of 256-bit words."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
@@ -88,9 +89,8 @@ class Encoder:
             low[word] = bits & (bits - 1)
             if not low[word]:
                 top &= top - 1
-            bucket.sort()
-            lefts = iter(bucket)
-            for left in lefts:
+            while bucket:
+                left = heappop(bucket)
                 if pair[left] != rank:  # stale
                     continue
                 right = after[left]
@@ -107,7 +107,7 @@ class Encoder:
                     found = pair[left] = rank_of(data[left : after[end]], -1)
                     if found >= 0:
                         if found in buckets:
-                            buckets[found].append(left)
+                            heappush(buckets[found], left)
                         else:
                             buckets[found] = [left]
                             low[found >> 8] |= bit[found & 255]
@@ -118,17 +118,17 @@ class Encoder:
                     found = pair[prior] = rank_of(data[prior:end], -1)
                     if found >= 0:
                         if found in buckets:
-                            buckets[found].append(prior)
+                            heappush(buckets[found], prior)
                         else:
                             buckets[found] = [prior]
                             low[found >> 8] |= bit[found & 255]
                             top |= 1 << (found >> 8)
                         lower = lower or found < rank
-                if lower:  # that pair goes before the rest of this bucket
-                    if rest := list(lefts):
-                        buckets[rank] = rest
-                        low[word] |= bit[rank & 255]
-                        top |= 1 << word
+                if lower and bucket:  # that pair goes before the rest of this bucket
+                    buckets[rank] = bucket
+                    low[word] |= bit[rank & 255]
+                    top |= 1 << word
+                    break
         kept = np.frombuffer(gone, np.uint8) == 0
         packed = np.asarray(node, "<u4")[kept].tobytes()
         cuts = (4 * np.append(0, np.cumsum(kept)[ends - 1])).tolist()

@@ -73,7 +73,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     places = stored(token_files.write_token_files(docs, path, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, SEPARATOR), "token-places")
     counts = token_files.count_tokens(spark, path, SEPARATOR)
-    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the documents: neither is broadcast, however small it looks
+    return places.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,14 @@ def cross_weights(edges: DataFrame, of: DataFrame) -> DataFrame:
     community); x = y is a community's inner weight."""
     e = edges.join(of.select(F.col("file").alias("a"), F.col("community").alias("ca")), "a").join(of.select(F.col("file").alias("b"), F.col("community").alias("cb")), "b")
     return e.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.sum("weight").alias("weight"))
+
+
+def test_and_config_edges(edges: DataFrame, files: DataFrame, tests: DataFrame, configs: DataFrame) -> DataFrame:
+    """Edges that references of files imply: TESTED_BY from the target to the test of
+    a test file (``tests``: node_id, path), CONFIGURED_BY from the file to the config
+    that stands for the target (``configs``: node_id, symbol_id). Evidence is carried."""
+    evidence = ["ev_file", "ev_line", "ev_extractor"]
+    refs = edges.filter("type = 'REFERENCES'").join(files.select(F.col("node_id").alias("source"), "path"), "source")
+    tested = refs.join(tests.select(F.col("node_id").alias("test_id"), "path"), "path").select(F.col("target").alias("source"), F.col("test_id").alias("target"), F.lit("TESTED_BY").alias("type"), *evidence)
+    configured = refs.join(configs.select(F.col("node_id").alias("config_id"), F.col("symbol_id").alias("target")), "target").select("source", F.col("config_id").alias("target"), F.lit("CONFIGURED_BY").alias("type"), *evidence)
+    return tested.unionByName(configured)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routes, text as tx
 from ..functions.unique import exactly_one, first_tier
-from ..operators import audit, cluster, constraints, coverage, deadcode, featuremap, navigate, python_source, reach, resolve, search, structure, traverse
+from ..operators import audit, claims, cluster, constraints, coverage, deadcode, featuremap, navigate, python_source, reach, resolve, search, structure, traverse
 from .graph import EvidenceGraph, commerce_graph
 from .oracle import over_graph, tokens
 
@@ -508,3 +508,63 @@ def python_frontend_facts(spark, d):
     code = "import os\nfrom .base import run as go\n\nclass Nation:\n    def load(self):\n        return self.store(go(%s))\n    def store(self, x):\n        return os.fspath(x)\n"
     files = _read(spark, d, "nation").select(F.concat(F.lit("n/m"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), F.format_string(code, F.col("n_nationkey").cast("string")).alias("text"))
     return python_source.python_facts(files)
+
+
+_PATHS = ("README.md", "docs/guide.md", "tests/readme.md", "docs/login-fix.md", "docs/usage.md", "docs\\testing\\a.md", "docs/contest.md")
+_HEADINGS = ("", "Features", "Installation", "FAQ!", "Getting Help")
+_ENDS = (" is kept", " needs a venv", " is tested", " Fix: the lock", " ->> store", " run it", " production-ready", " Note over a", " contact us", " latest", " create one")
+_PROMISES = "select p_partkey, {}[p_partkey % 7 + 1] as path, {}[p_partkey % 5 + 1] as heading, p_name || {}[p_partkey % 11 + 1] as text from part".format(*("[" + ", ".join(f"'{x}'" for x in values) + "]" for values in (_PATHS, _HEADINGS, _ENDS)))
+
+
+def _signals_sql() -> str:
+    seen = {"path": r"replace(path, '\', '/')", "text": "text", "all": "heading || chr(10) || text", "label": r"trim(regexp_replace(heading, '[^\p{L}\p{N}/]+', ' ', 'g'))"}
+    hits = [f"regexp_matches({seen[c]}, '{p}', 'i')" for c, p in claims.SIGNALS]
+    return " or ".join([*hits, f"(regexp_matches(heading, '{claims.INSTRUCTIONS[0]}', 'i') and regexp_matches(text, '{claims.INSTRUCTIONS[1]}', 'i'))"])
+
+
+@query(f"select p_partkey, {_signals_sql()} as quarantined from ({_PROMISES})")
+def quarantined_claims(spark, d):
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % n + 1).cast("int"))
+    text = F.concat("p_name", pick(_ENDS, 11))
+    return _read(spark, d, "part").select("p_partkey", claims.quarantined(pick(_PATHS, 7), pick(_HEADINGS, 5), text).alias("quarantined"))
+
+
+@query("select p_partkey, p_name as title from part")
+def feature_titles(spark, d):
+    """Titles with up to two notes of duplicates, which go."""
+    notes = F.element_at(F.array(*map(F.lit, ("", " (duplicate)", " (Alternate 2)", "(duplicate 3) (alternate) "))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _read(spark, d, "part").select("p_partkey", claims.feature_title(F.concat("p_name", notes)).alias("title"))
+
+
+@query("select distinct 'f_' || c_nationkey as name, s_suppkey as source_id from supplier join (select distinct c_nationkey from customer) on c_nationkey in (s_nationkey, s_suppkey % 25) where c_nationkey not in (select distinct s_nationkey from supplier where s_acctbal > 5000)")
+def unresolved_contracts(spark, d):
+    """Procedures called by suppliers' made-up code; well-off suppliers' nations define theirs."""
+    s = _read(spark, d, "supplier")
+    code = F.format_string("db.rpc('f_%s'); db.rpc( \"f_%s\", {}); rpc('no')", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 25).cast("string"))
+    names = s.filter("s_acctbal > 5000").select(F.concat(F.lit("f_"), F.col("s_nationkey").cast("string")).alias("name"))
+    return claims.unresolved_contracts(s.select(F.col("s_suppkey").alias("source_id"), code.alias("text")), names)
+
+
+@query(over_graph("select target as source, 'test:' || n.path as target, 'TESTED_BY' as type from edges join nodes n on n.node_id = source where type = 'REFERENCES' and n.node_type = 'file' and n.path like 'tests/%' union all select source, 'config:' || target, 'CONFIGURED_BY' from edges join nodes n on n.node_id = source join nodes t on t.node_id = target where type = 'REFERENCES' and n.node_type = 'file' and t.exported"))
+def test_and_config_edges(spark, d):
+    """Tests stand for test files, configs for exported symbols."""
+    g = _graph(spark, d)
+    files = g.nodes.filter("node_type = 'file'")
+    tests = files.filter(tx.is_test_path(F.col("path"))).select(F.concat(F.lit("test:"), "path").alias("node_id"), "path")
+    configs = g.nodes.filter("exported").select(F.concat(F.lit("config:"), "node_id").alias("node_id"), F.col("node_id").alias("symbol_id"))
+    return structure.test_and_config_edges(g.edges, files, tests, configs).select("source", "target", "type")
+
+
+@query(over_graph("select node_id, path from nodes where node_type = 'function' and exported and length(name) % 2 = 0 and node_id not in (select target from edges join nodes s on s.node_id = source join nodes t on t.node_id = target where type = 'REFERENCES' and coalesce(s.file_id, s.node_id) <> t.file_id)"))
+def never_imported_exports(spark, d):
+    """Exports whose names have an even length have a const statement, others a function's."""
+    g = _graph(spark, d)
+    statement = F.when(F.length("name") % 2 == 0, "  export const x = 1").otherwise("export function x() {}")
+    exports = g.nodes.filter("node_type = 'function' and exported").select("node_id", "path", statement.alias("statement"))
+    return deadcode.never_imported(g, exports).select("node_id", "path")
+
+
+@query("with t as (select doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: case when length(x) > 6 and x like '%ing' then case when x = 'parsing' then 'parse' else x[:-4] end when length(x) > 5 and x like '%ed' then x[:-3] when length(x) > 3 and x like '%s' then x[:-2] else x end) as w, regexp_matches(text, '(?i)\\bnon[-\\s]') as other from documents), k as (select doc_id, other, list_filter(w, lambda x: length(x) >= 3 and x not in (" + ", ".join(f"'{w}'" for w in audit.STOPWORDS) + ")) as w from t) select doc_id, array_to_string(list_sort(list_distinct(list_concat(w, case when other then ['other'] else [] end, " + ", ".join(f"case when list_contains(w, '{a}') then ['{b}'] else [] end" for a, b in audit.SYNONYMS.items()) + "))), ' ') as tokens from k")
+def claim_tokens(spark, d):
+    tokens = F.array_join(F.array_sort(audit.claim_tokens(F.col("text"))), " ")
+    return _read(spark, d, "documents").select("doc_id", tokens.alias("tokens"))

@@ -107,11 +107,11 @@ def bounded_paths_topk(spark, d):
 
 @query(over_graph(", back(node_id, depth) as (select node_id, 0 from nodes where node_type = 'endpoint' union select target, depth + 1 from back join edges on source = node_id where depth < 20) select node_id, min(depth) as depth from back where node_id like 'function:part:%' group by node_id"))
 def paths_to_external_behavior(spark, d):
-    """Least steps from each part to an endpoint, against the edges."""
+    """Least steps from each node to an endpoint, against the edges."""
     g = _graph(spark, d)
     e = g.edges.filter("type in ('CALLS', 'REFERENCES', 'HANDLED_BY')").select(F.lit("out").alias("kind"), "source", "target").distinct()
     ends = g.nodes.filter("node_type = 'endpoint'").select(F.lit("out").alias("kind"), "node_id")
-    return traverse.bfs(ends, e).filter("node_id like 'function:part:%'").select("node_id", "depth")
+    return traverse.bfs(ends, e).select("node_id", "depth")
 
 
 @query(over_graph(", c(node_id) as (select handler from entries union select target from c join edges on source = node_id where type in ('CALLS', 'REFERENCES')) select node_id from c"))
@@ -187,8 +187,7 @@ def find_consumers(spark, d):
 def get_neighbors(spark, d):
     g = commerce_graph(spark, d)
     kinds = ("CALLS", "REFERENCES", "HANDLED_BY")
-    both = navigate.related(g, kinds, "in").union(navigate.related(g, kinds, "out")).distinct()
-    return both.filter("node_id like 'function:supplier:%'")
+    return navigate.related(g, kinds, "in").union(navigate.related(g, kinds, "out")).distinct()
 
 
 @query(over_graph("select node_id, route, (select count(*) from entries where exposure = 'external') as total, case when 30 < (select count(*) from entries where exposure = 'external') then 30::bigint end as next_offset from (select node_id, route from entries where exposure = 'external' order by node_id limit 20 offset 10)"))

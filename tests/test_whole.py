@@ -26,3 +26,12 @@ def test_definitions_of_all_names(spark):
     assert got == oracle("find_definition", " where p_partkey % 40 = 0", " where c_custkey % 50 = 0")
     names = {r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()} | {r.c_name.upper() for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_name").collect()}
     assert {r[0] for r in got} == names
+
+
+def test_neighbours_and_distances_of_all_nodes(spark):
+    got = rows(spark, "get_neighbors")
+    assert got == oracle("get_neighbors", " where node_id like 'function:supplier:%'")
+    assert {r[0].split(":")[0] for r in got} == {"file", "function", "endpoint"}
+    got = rows(spark, "paths_to_external_behavior")
+    assert got == oracle("paths_to_external_behavior", " where node_id like 'function:part:%'")
+    assert any(r[0].startswith("endpoint:") for r in got) and any(r[0].startswith("function:supplier:") for r in got)

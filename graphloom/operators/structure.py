@@ -17,25 +17,26 @@ def file_edges(graph: EvidenceGraph) -> DataFrame:
     return e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(file, community) by weighted label propagation: each round a file takes the
-    label with most weight around it (its own label counts once more), ties to the
-    least label; labels are handed on in one sense a round, so it settles. The same
-    for any order of the input."""
+def communities(edges: DataFrame) -> DataFrame:
+    """(file, community) by weighted label propagation: a file takes the label with most
+    weight around it (its own label counts once more), ties to the least label, until no
+    file has a better one. No two neighbours move in one round, so each move adds to the
+    weight inside communities and it settles. The same for any order of the input."""
     both = stored(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).union(edges.select(F.explode(F.array("a", "b")).alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1).cast("long"))).toDF("a", "b", "weight"), "community-edges")
     labels = stored(both.select(F.col("a").alias("file")).distinct().withColumn("community", F.col("file")), "labels")
-    for r in range(rounds):
+    r = 0
+    while True:
         votes = both.join(labels.withColumnRenamed("file", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy(F.col("a").alias("file")).agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("v")).select("file", F.col("v.community").alias("next"))
-        # files of one half move in a round: no two neighbours swap labels for ever
-        turn = F.pmod(F.xxhash64("file"), F.lit(2)) == r % 2
-        after = labels.join(best, "file", "left").select("file", F.when(turn, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"))
-        after = stored(after, "labels")
-        moved = after.join(labels.withColumnRenamed("community", "old"), "file").filter("community != old").limit(1).count()
-        labels = after
-        if not moved and r:
-            break
-    return labels
+        turn = F.struct(F.xxhash64("file", F.lit(r)).alias("h"), "file").alias("turn")
+        wish = stored(labels.join(best, "file").filter("next != community").select("file", "next", turn), "wishes")
+        if wish.isEmpty():
+            return labels
+        # a file waits while a neighbour that would move too has a later turn
+        rivals = both.join(wish.select(F.col("file").alias("a"), F.col("turn").alias("mine")), "a").join(wish.select(F.col("file").alias("b"), F.col("turn").alias("theirs")), "b")
+        moves = wish.join(rivals.filter("theirs > mine").select(F.col("a").alias("file")).distinct(), "file", "left_anti").select("file", "next")
+        labels = stored(labels.join(moves, "file", "left").select("file", F.coalesce("next", "community").alias("community")), "labels")
+        r += 1
 
 
 def modal_directories(files: DataFrame) -> DataFrame:

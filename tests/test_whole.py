@@ -2,6 +2,7 @@
 
 import duckdb
 
+from graphloom.operators import structure
 from graphloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,13 @@ def test_neighbours_and_distances_of_all_nodes(spark):
     got = rows(spark, "paths_to_external_behavior")
     assert got == oracle("paths_to_external_behavior", " where node_id like 'function:part:%'")
     assert any(r[0].startswith("endpoint:") for r in got) and any(r[0].startswith("function:supplier:") for r in got)
+
+
+def test_communities_settle_on_a_long_chain(spark):
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}", 1 + i % 7) for i in range(150)]
+    label = {r["file"]: r["community"] for r in structure.communities(spark.createDataFrame(edges, "a string, b string, weight long")).collect()}
+    votes = {f: {c: 1} for f, c in label.items()}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            votes[x][label[y]] = votes[x].get(label[y], 0) + w
+    assert [f for f, v in votes.items() if min(v, key=lambda c: (-v[c], c)) != label[f]] == []

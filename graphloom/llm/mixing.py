@@ -2,7 +2,8 @@
 
 Golden-ratio points are mapped through the cumulative shares of the sources, the
 slots of each source are ranked, and slot ``j`` of a source takes the ``j``-th
-equal-token block of that source's shuffled, endlessly repeated word stream.
+equal-token block of that source's shuffled, endlessly repeated word stream. What a
+slot takes of which document are its pieces; all else is derived from them.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ GOLDEN = 1327217885
 SPAN = 1 << 31
 _BINS = 1024
 _CHUNK = 1 << 16
+_SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 @dataclass
 class Mix:
-    """``taken``: a row for each document (doc_id, source, size, fingerprint,
-    source_size, target, taken). ``slots``: the schedule (slot, sid, rank, block,
-    room); ``sources``: the driver's table of sources and targets."""
+    """``pieces``: what each slot takes (slot, at, doc_id, source, fingerprint, copy,
+    size, pass, words), in order of slot and then of ``at``, its first word's place in
+    the block. ``taken``: a row for each document (doc_id, source, size, source_size,
+    target, taken, slots, first_slot), summed from the pieces; ``sources``: the driver's
+    table of sources and targets."""
 
+    pieces: DataFrame
     taken: DataFrame
-    slots: DataFrame
     sources: list[dict]
 
 
@@ -56,6 +60,26 @@ def capped_targets(sizes: list[int], weights: list[float], share: float, cap: fl
     return out
 
 
+def fingerprint(columns: list[str]) -> Column:
+    """What tells rows of one doc_id and source apart: the text and other ``columns``."""
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns]
+    return F.md5(F.concat_ws("\x00", F.coalesce("text", F.lit("")), *rest))
+
+
+def _copies(docs: DataFrame, identity: list[str]) -> DataFrame:
+    """A row for each document, without its text: rows that are alike in doc_id, source
+    and fingerprint are counted first and numbered by ``copy`` from 1. A large group of
+    them is dealt by runs of numbers, so no task makes all of it."""
+    groups = docs.groupBy("doc_id", "source", fingerprint(identity).alias("fingerprint")).agg(F.max(word_count(F.col("text"))).alias("size"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups, "mix-groups")
+    key = ["doc_id", "source", "fingerprint", "size"]
+    few = groups.filter(F.col("n") <= _CHUNK).select(*key, F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+    many = groups.filter(F.col("n") > _CHUNK).select(*key, "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {_CHUNK})")).alias("run")).repartition("fingerprint", "run")
+    many = many.select(*key, F.explode(F.expr(f"sequence(run * {_CHUNK} + 1, least(n, (run + 1) * {_CHUNK}))")).alias("copy"))
+    draw = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "fingerprint", F.col("copy").cast("string")))
+    return few.unionByName(many).withColumn("draw", draw)
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -63,27 +87,20 @@ def mix(
     cap: float = 2.0,
     block_words: int = 1024,
     max_sources: int = 1_000_000,
+    identity: list[str] = [],  # noqa: B006
 ) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, source, text; other columns are ignored).
+    """Plan the mix of ``docs`` (doc_id, source, text, ``identity``; others are ignored).
 
     Sources by code point, null last, take ``weights`` in turn. Every source gives
     ``round(target)`` words: whole passes over its shuffled stream, then a part.
-    Null text and text without words have size 0 and take part with 0 taken words.
-    Repeated rows count as documents of their own. An empty table gives no rows.
-    The sources are configuration, so their table (not the documents) is held by
-    the driver; more than ``max_sources`` of them is an error, never a silent cap.
+    Null text and text without words have size 0 and take part with 0 taken words and
+    no slot. Repeated rows count as documents of their own, in some order; so do rows
+    without a doc_id. A text of any length is cut at block ends. An empty table gives
+    no rows. The sources are configuration, so their table (not the documents) is held
+    by the driver; more than ``max_sources`` of them is an error, never a silent cap.
     """
     spark = docs.sparkSession
-    sized = stored(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.coalesce("text", F.lit(""))).alias("fingerprint"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"),
-        ),
-        "mix-sizes",
-    )
+    sized = stored(_copies(docs, identity), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources: raise max_sources to mix so many")
@@ -97,48 +114,45 @@ def mix(
         need = passes * blocks + -(-rest // block_words)
         sources.append({"source": r["source"], "sid": sid, "source_size": size, "target": float(target), "limit_words": limit, "blocks": blocks, "need": need})
         total_slots += need
-    table = local_table(
-        spark,
-        pa.table(
-            {k: pa.array([s[k] for s in sources], t) for k, t in (("source", pa.string()), ("sid", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("limit_words", pa.int64()), ("blocks", pa.int64()), ("need", pa.int64()))}
-        ),
-    )
+    table = _source_table(spark, sources)
     slots = _schedule(spark, table, sources, total_slots, block_words)
 
     # each document's place in its source's shuffled stream: sums of hash ranges, then within one
-    ranges = 1
-    while ranges < sum(r["n"] for r in found) / 4096:
+    ranges, rows = 1, sum(r["n"] for r in found)
+    while ranges < max(rows / 4096, min(rows / 64, 65536)):
         ranges *= 2
-    placed = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(table["source"])
-    placed = placed.withColumn("range", F.shiftright(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * ranges, 32))
+    named = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(table["source"])
+    placed = named.withColumn("range", F.shiftright(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * ranges, 32))
     base = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("sid", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "range").orderBy("draw", "doc_id", "size", "fingerprint")
-    placed = (
-        placed.join(base, ["sid", "range"])
-        .withColumn("row", F.row_number().over(inside))
-        .withColumn("start", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    )
-    key = ["sid", "range", "row"]
-    kept = ["doc_id", "source", "size", "fingerprint", "source_size", "target"]
-    b = F.lit(block_words)
-    pieces = placed.filter("size > 0").withColumn(
+    inside = Window.partitionBy("sid", "range").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.join(base, ["sid", "range"]).withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
+    key = ["doc_id", "source", "fingerprint", "copy", "size"]
+    spread = placed.filter("size > 0").withColumn(
         "block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
     )
-    pieces = pieces.select(
-        *key,
-        *kept,
-        "block",
+    b = F.lit(block_words)
+    spread = spread.select(
+        "sid", "block", *key,
         F.greatest(F.col("start") - F.col("block") * b, F.lit(0)).alias("lo"),
         F.least(F.col("start") + F.col("size") - F.col("block") * b, b).alias("hi"),
+    )
+    pieces = spread.join(slots, ["sid", "block"]).withColumn("words", F.least("hi", "room") - F.col("lo")).filter("words > 0")
+    pieces = stored(pieces.select("slot", F.col("lo").alias("at"), *key, "pass", "words"), "mix-pieces")
+    got = pieces.groupBy(*key).agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first_slot"))
+    names, own = {c: f"_{c}" for c in key}, named.select(*key, "source_size", "target")
+    got = got.withColumnsRenamed(names)
+    same = [own[c].eqNullSafe(got[n]) for c, n in names.items()]
+    taken = own.join(got, same, "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), "first_slot"
     )
-    joined = pieces.join(slots.select("sid", "block", "room"), ["sid", "block"], "left")
-    # least() skips nulls: a block without a slot is taken 0 times
-    got = F.when(F.col("room").isNotNull(), F.greatest(F.least("hi", "room") - F.col("lo"), F.lit(0)))
-    taken = joined.groupBy(*key).agg(*(F.first(c).alias(c) for c in kept), F.coalesce(F.sum(got), F.lit(0)).alias("taken"))
-    empty = placed.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
-    return Mix(taken.select(*kept, "taken").unionByName(empty), slots, sources)
+    return Mix(pieces, taken, sources)
+
+
+def _source_table(spark, sources: list[dict]) -> DataFrame:
+    types = {"source": pa.string(), "sid": pa.int32(), "source_size": pa.int64(), "target": pa.float64(), "limit_words": pa.int64(), "blocks": pa.int64(), "need": pa.int64()}
+    return local_table(spark, pa.table({k: pa.array([s[k] for s in sources], t) for k, t in types.items()}))
 
 
 def _schedule(spark, table: DataFrame, sources: list[dict], n: int, block_words: int) -> DataFrame:
@@ -161,31 +175,41 @@ def _schedule(spark, table: DataFrame, sources: list[dict], n: int, block_words:
     drawn = drawn.select("slot", "sid", F.expr(f"slot div {_CHUNK}").alias("chunk"))
     counts = drawn.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = drawn.join(counts, ["sid", "chunk"]).select(
+    counts = counts.select("sid", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = drawn.join(counts.drop("n"), ["sid", "chunk"]).select(
         "slot", "sid", (F.col("base") + F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1).alias("rank")
     )
-    had = drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("had"))
-    short = F.broadcast(table).join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).filter("need > had")
-    tail = short.select(F.lit(n).cast("long").alias("slot"), "sid", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank"))
-    tail = tail.select((F.col("slot") + F.col("rank")).alias("slot"), "sid", "rank")
-    slots = ranked.unionByName(tail).join(F.broadcast(table.drop("source", "target")), "sid").filter("rank < need")
+    # what the points left short follows at the end, one number a slot: source after source
+    had = {r["sid"]: r["had"] for r in counts.groupBy("sid").agg(F.sum("n").alias("had")).collect()}
+    late, at = [], n
+    for s in sources:
+        short = s["need"] - had.get(s["sid"], 0)
+        if short > 0:
+            late.append((s["sid"], had.get(s["sid"], 0), s["need"] - 1, at))
+            at += short
+    late = local_table(spark, pa.table({k: pa.array([r[i] for r in late], t) for i, (k, t) in enumerate((("sid", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("base", pa.int64())))}))
+    late = late.select("sid", "low", "base", F.explode(F.sequence("low", "high")).alias("rank")).select((F.col("base") + F.col("rank") - F.col("low")).alias("slot"), "sid", "rank")
+    slots = ranked.unionByName(late).join(F.broadcast(table.drop("source", "target")), "sid").filter("rank < need")
     done = F.expr(f"(rank div blocks) * source_size + (rank % blocks) * {block_words}")
-    return slots.select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"), (F.col("limit_words") - done).alias("room"))
+    return slots.select("slot", "sid", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"), (F.col("limit_words") - done).alias("room"))
 
 
 def mixed_documents(docs: DataFrame, plan: Mix, columns: list[str]) -> DataFrame:
-    """The mix as documents: one row for each whole pass over a document, and one
-    with its first words where the source's last pass ends inside it. A taken count
-    of 0 leaves the document out. ``n_chars`` follows the text."""
-    got = plan.taken.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    # twins (same id and text) share their taken words, so each is joined to the mean of the group
-    got = got.groupBy("_id", "_fp").agg(F.first("_size").alias("_size"), F.expr("sum(_taken) div count(1)").alias("_taken"))
-    fp = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_own", fp).join(got, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")))
-    rows = rows.withColumn("_words", F.explode(F.expr("transform(sequence(1, cast((_taken + _size - 1) div _size as int)), i -> least(_size, _taken - (i - 1) * _size))")))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int"))
-    rows = rows.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(words, " ")))
+    """The mix as documents, in the order of the schedule: one row for each whole pass
+    over a document, and one with its first words (white space and all) where its
+    source's last pass ends inside it. A row's place is that of its first piece's slot.
+    A document of which nothing is taken is left out. ``plan`` is of the same ``docs``
+    with ``columns`` as its identity, so rows that are alike in all of them are one
+    document here and as many in the plan. ``n_chars`` follows the text."""
+    key = ["doc_id", "source", "fingerprint"]
+    first = F.min(F.struct("slot", "at"))
+    got = plan.pieces.groupBy(*key, "copy", "size", "pass").agg(F.sum("words").alias("_words"), first.alias("_place"))
+    got = got.withColumnsRenamed({c: f"_{c}" for c in [*key, "size"]})
+    rows = docs.withColumn("fingerprint", fingerprint(columns)).dropDuplicates(key)
+    rows = rows.join(got, [rows[c].eqNullSafe(got[f"_{c}"]) for c in key])
+    # words with the white space before them, so a cut text keeps its own
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(_SPACED_WORD), F.lit(0)), 1, F.col("_words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    return rows.orderBy("_place.slot", "_place.at").select(*columns)

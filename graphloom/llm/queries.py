@@ -19,7 +19,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_read(spark, sf_dir, "documents"))
-    return plan.taken.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.taken.select("doc_id", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +97,14 @@ def queries() -> dict:
 
 
 OP1_SQL = r"""
-with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         md5(coalesce(cast(doc_id as varchar), '')) as draw
+with words as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(text, '')) as fp
   from documents),
+sized as (
+  select *, md5(coalesce(cast(doc_id as varchar), '') || '|' || fp || '|' || row_number() over (partition by doc_id, source, fp)) as draw from words),
 sources as (
-  select source, sum(size)::double as n, [3, 1, 2][1 + ((row_number() over (order by source nulls last) - 1) % 3)::int]::double as w
+  select source, sum(size)::double as n, row_number() over (order by source nulls last) - 1 as sid,
+         [3, 1, 2][1 + ((row_number() over (order by source nulls last) - 1) % 3)::int]::double as w
   from sized group by source),
 -- sources stop at 2 n in the order of n / w: fill the others by weight
 ordered as (
@@ -112,15 +114,35 @@ ordered as (
   from sources),
 unit as (
   select coalesce(max((total - filled) / left_w), 1e300) as u from ordered where (total - filled) / left_w <= 2 * n / w),
-targets as (select source, n, least(2 * n, u * w) as target from sources, unit),
+targets as (select source, sid, n::bigint as n, least(2 * n, u * w) as target, floor(least(2 * n, u * w) + 0.5)::bigint as lim from sources, unit),
+-- how many blocks of 1024 words a source gives, and its part of the golden-ratio points
+needs as (select *, (n + 1023) // 1024 as blocks, coalesce((lim // nullif(n, 0)) * ((n + 1023) // 1024) + (lim % nullif(n, 0) + 1023) // 1024, 0)::bigint as need from targets),
+shares as (select *, (sum(need) over (order by sid))::bigint as upto, (sum(need) over ())::bigint as total from needs),
+bounds as (select *, coalesce(upto * 2147483648 // nullif(total, 0), 0) as hi, coalesce((upto - need) * 2147483648 // nullif(total, 0), 0) as lo from shares),
+drawn as (
+  select slot, sid, row_number() over (partition by sid order by slot) - 1 as rank
+  from (select i as slot, (i % 2147483648) * 1327217885 % 2147483648 as point from range((select coalesce(max(total), 0) from bounds)) t(i)) join bounds on lo <= point and point < hi),
+short as (
+  select b.sid, total, greatest(need - coalesce(had, 0), 0)::bigint as lack, coalesce(had, 0) as had
+  from bounds b left join (select sid, count(*) as had from drawn group by sid) using (sid)),
+late as (
+  select total + (sum(lack) over (order by sid))::bigint - lack as late_at, sid, lack, had from short),
+slots as (
+  select slot, sid, rank from drawn
+  union all select late_at + i, sid, had + i from (select *, unnest(range(lack)) as i from late)),
+rooms as (
+  select slot, sid, rank % blocks as block, lim - ((rank // blocks) * n + (rank % blocks) * 1024) as room
+  from slots join needs using (sid) where rank < need),
 placed as (
-  select s.doc_id, s.size, t.n::bigint as source_size, t.target, floor(t.target + 0.5)::bigint as lim,
-         sum(s.size) over (partition by s.source order by s.draw, s.doc_id, s.size rows unbounded preceding) - s.size as start
-  from sized s join targets t on s.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size, target,
-       (case when size = 0 then 0
-             else size * (lim // source_size) + greatest(0, least(size, lim % source_size - start)) end)::bigint as taken
-from placed
+  select s.doc_id, s.source, s.fp, s.draw, s.size, t.sid, t.n as source_size, t.target,
+         (sum(s.size) over (partition by t.sid order by s.draw rows unbounded preceding))::bigint - s.size as start
+  from sized s join needs t on s.source is not distinct from t.source),
+pieces as (
+  select p.draw, p.sid, r.slot, least(p.start + p.size - p.block * 1024, 1024, r.room) - greatest(p.start - p.block * 1024, 0) as words
+  from (select *, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) as block from placed where size > 0) p join rooms r using (sid, block)),
+got as (select sid, draw, sum(words) as taken, count(*) as slots, min(slot) as first_slot from pieces where words > 0 group by all)
+select doc_id, size::bigint as size, source_size, target, coalesce(taken, 0)::bigint as taken, coalesce(slots, 0)::bigint as slots, first_slot::bigint as first_slot
+from placed left join got using (sid, draw)
 """
 
 OP3_SQL = r"""

@@ -3,17 +3,21 @@
 Equal vectors are indexed once and carry their least ids, so a vector with any
 number of copies is one node. Each shard's graph is built by greedy searches that
 propose neighbours and by relaxed-distance pruning that keeps diverse edges; beam
-searches then run every query against every shard, in batches.
+searches then run every query against every shard, in batches. Queries are not dealt
+to the shards as rows: they are written once as files of bounded size, which each
+shard's task reads in turn.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_path, stored
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -128,16 +132,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, k: int = 5, query_step: int = 50, shard_size: int = 12_000, beam: int = 96) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, query_step: int = 50, shard_size: int = 12_000, beam: int = 96, file_rows: int = 65_536) -> DataFrame:
     """The ``k`` nearest of each query (vec_id divisible by ``query_step``) among all
     other rows of ``vectors`` (vec_id, embedding; other columns are ignored).
 
     Returns (query_id, rank, vec_id, score): largest cosine first, ties to the smaller
     vec_id; scores are exact cosines of the original vectors. Rows that ``usable``
     leaves out, and null vec_ids, take no part; vectors of another length are never
-    compared. Rows repeating a vec_id are one candidate by vector. With fewer
-    candidates all are returned; an empty table gives no rows. A shard has about
-    ``shard_size`` distinct vectors, which bounds its task's memory.
+    compared. Where a vec_id repeats with other vectors, the query is the least of them
+    (component by component) and each of them is a candidate under that id, which
+    counts once, by its best score. With fewer candidates all are returned; an empty
+    table gives no rows. A shard has about ``shard_size`` distinct vectors, which bounds
+    its task's memory; queries lie in files of ``file_rows`` rows at most.
     """
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
     rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
@@ -149,52 +155,59 @@ def nearest(vectors: DataFrame, k: int = 5, query_step: int = 50, shard_size: in
     ids = rows.select("h1", "h2", "vec_id").distinct().withColumn("salt", F.pmod("vec_id", F.lit(64)))
     ids = ids.withColumn("r", F.row_number().over(by_salt)).filter(F.col("r") <= k + 1)
     ids = ids.withColumn("r", F.row_number().over(by_node)).filter(F.col("r") <= k + 1).select("h1", "h2", "vec_id")
-    queries = rows.filter(F.col("vec_id") % query_step == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+
+    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = scratch_path(vectors.sparkSession, "ann-queries")
+    queries.select("vec_id", F.size("embedding").alias("dim"), "embedding").write.option("maxRecordsPerFile", file_rows).parquet(asked)
+    files = sorted(vectors.sparkSession.read.schema("vec_id long").parquet(asked).inputFiles())
 
     nodes = stored(nodes, "ann-nodes")
     shards = max(1, -(-nodes.count() // shard_size))
-    placed = nodes.select(F.expr(f"cast(pmod(h1, {shards}) as int)").alias("shard"), F.lit(0).alias("kind"), "h1", "h2", F.lit(None).cast("long").alias("vec_id"), "embedding")
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    asked = asked.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "vec_id", "embedding")
-    dim = F.size("embedding").alias("dim")
-    stream = placed.unionByName(asked).select("*", dim).repartition("shard").sortWithinPartitions("shard", "dim", "kind", "h1", "h2")
+    placed = nodes.select(F.expr(f"cast(pmod(h1, {shards}) as int)").alias("shard"), F.size("embedding").alias("dim"), "h1", "h2", "embedding")
+    # one task a shard: its number is the partition's
+    stream = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "h1", "h2")
+
+    def batches_of(dim: int):
+        for file in files:
+            fs, path = pafs.FileSystem.from_uri(file)
+            with fs.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(512):
+                    at = np.flatnonzero(np.asarray(batch.column("dim")) == dim)
+                    if len(at):
+                        batch = batch.take(pa.array(at))
+                        yield np.asarray(batch.column("vec_id")), np.asarray(batch.column("embedding").flatten(), np.float64).reshape(-1, dim)
+
+    def search(dim: int, held: list):
+        """All queries of this length against the nodes of one shard; the k + 1 best by
+        exact cosine, and what ties with the last of them."""
+        h1, h2, own = (np.concatenate(z) for z in zip(*held))
+        x = unit(own).astype(np.float32)
+        graph, entry = build_graph(x)
+        for names, q in batches_of(dim):
+            found, _, _ = beam_search(x, graph, entry, unit(q).astype(np.float32), beam)
+            found = found[:, : 4 * (k + 1)]
+            row, col = np.nonzero(found >= 0)
+            score = np.full(found.shape, -np.inf)
+            score[row, col] = cosine(q[row], own[found[row, col]])
+            last = -np.sort(-score, 1)[:, min(k, score.shape[1] - 1)]
+            row, col = np.nonzero((score >= last[:, None]) & (found >= 0))
+            node = found[row, col]
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(h1[node]), pa.array(h2[node]), pa.array(score[row, col])], names=["query_id", "h1", "h2", "score"])
 
     def run(batches):
-        """A shard's nodes come first and are held; its queries stream past them."""
-        at, held, index = None, [], None
+        dim, held = None, []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            shard, kind, dim = (np.asarray(batch.column(c)) for c in ("shard", "kind", "dim"))
-            place = np.stack([shard, dim, kind], 1).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(1)))) if len(shard) else []
-            for s, e in zip(cuts, [*cuts[1:], len(shard)]):
-                part = table.slice(int(s), int(e - s))
-                width = int(dim[s])
-                if (shard[s], dim[s]) != at:
-                    at, held, index = (shard[s], dim[s]), [], None
-                flat = part.column("embedding").combine_chunks()
-                vecs = np.asarray(flat.flatten() if isinstance(flat, pa.ListArray) else flat.chunk(0).flatten(), np.float64).reshape(-1, width)
-                if kind[s] == 0:
-                    held.append((np.asarray(part.column("h1")), np.asarray(part.column("h2")), vecs))
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    h1, h2, own = (np.concatenate(z) for z in zip(*held))
-                    x = unit(own).astype(np.float32)
-                    index = (h1, h2, own, x, *build_graph(x))
-                h1, h2, own, x, graph, entry = index
-                names = np.asarray(part.column("vec_id"))
-                for lo in range(0, len(names), 512):
-                    q = vecs[lo : lo + 512]
-                    found, _, _ = beam_search(x, graph, entry, unit(q).astype(np.float32), beam)
-                    found = found[:, : 4 * (k + 1)]
-                    row, col = np.nonzero(found >= 0)
-                    node = found[row, col]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[lo : lo + 512][row]), pa.array(h1[node]), pa.array(h2[node]), pa.array(cosine(q[row], own[node]))],
-                        names=["query_id", "h1", "h2", "score"],
-                    )
+            dims = np.asarray(batch.column("dim"))
+            cuts = np.flatnonzero(np.concatenate(([True], dims[1:] != dims[:-1]))) if len(dims) else []
+            for s, e in zip(cuts, [*cuts[1:], len(dims)]):
+                if held and dims[s] != dim:
+                    yield from search(dim, held)
+                    held = []
+                dim = int(dims[s])
+                part = batch.slice(int(s), int(e - s))
+                held.append((np.asarray(part.column("h1")), np.asarray(part.column("h2")), np.asarray(part.column("embedding").flatten(), np.float64).reshape(-1, dim)))
+        if held:
+            yield from search(dim, held)
 
     found = stream.mapInArrow(run, "query_id long, h1 long, h2 long, score double")
     # k + 1 vectors of each query hold its k nearest rows; more where vectors tie

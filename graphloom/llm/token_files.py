@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder_of, rank_file
+from .bpe import encoder_of, parse_ranks, rank_file
+from .common import stored
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str, separator: int, dtype: str = "<u2") -> DataFrame:
@@ -23,8 +24,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
     in storage that all executors share. Returns which document is where (file,
     ordinal, doc_id); the files are written as that frame is evaluated, so store it
     once. A task that runs again replaces its own file by the same bytes. Null text
-    counts as empty."""
+    counts as empty; repeated rows are documents of their own; a long text is written as
+    it is encoded; an empty table writes no file. A vocabulary with ids beyond ``dtype``,
+    or with the ``separator`` among them, is an error."""
     ranks = rank_file(docs.sparkSession, vocabulary)
+    ids = parse_ranks(ranks.value).values()
+    if max(ids) > np.iinfo(dtype).max or not 0 <= separator <= np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {max(ids)} and the separator {separator} must fit {dtype}")
+    if separator in set(ids):
+        raise ValueError(f"the separator {separator} is an id of the vocabulary")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -47,7 +55,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, pattern: str,
                 )
                 at += n
         if at:
-            fs.move(draft, f"{root}/{name}")
+            final = f"{root}/{name}"
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier attempt: not all stores replace
+                fs.delete_file(final)
+            fs.move(draft, final)
         else:
             fs.delete_file(draft)
 
@@ -59,7 +70,9 @@ def count_tokens(spark: SparkSession, path: str, separator: int, dtype: str = "<
 
     Returns (file, ordinal, n_tokens), ordinals from 0 in file order. A document
     may cross any number of blocks. Tokens after the last separator form a last
-    document; an empty file, or one ending in a separator, has none there.
+    document; an empty file, or one ending in a separator, has none there; a folder
+    without files gives no rows. The prefix scan of a file sees three numbers a block;
+    the lengths within blocks stay in the stored scan and meet its result by block.
     """
     fs, root = pafs.FileSystem.from_uri(path)
     width = np.dtype(dtype).itemsize
@@ -85,15 +98,17 @@ def count_tokens(spark: SparkSession, path: str, separator: int, dtype: str = "<
                     names=["file", "block", "ends", "head", "tail", "inner"],
                 )
 
-    seen = blocks.mapInArrow(scan, "file string, block long, ends long, head long, tail long, inner array<long>")
+    scanned = stored(blocks.mapInArrow(scan, "file string, block long, ends long, head long, tail long, inner array<long>"), "token-blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    seen = scanned.select("file", "block", "ends", "head", "tail")
     seen = seen.withColumn("base", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     seen = seen.withColumn("opened", F.coalesce(F.sum("tail").over(before), F.lit(0)))
     closed = F.coalesce(F.max(F.when(F.col("ends") > 0, F.col("opened"))).over(before), F.lit(0))
     seen = seen.withColumn("carry", F.col("opened") - closed)
     last = F.row_number().over(Window.partitionBy("file").orderBy(F.col("block").desc())) == 1
-    whole = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carry") + F.col("head")), "inner")).otherwise(F.array().cast("array<bigint>"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
-    lengths = F.when(last & (rest > 0), F.concat(whole, F.array(rest))).otherwise(whole)
-    seen = seen.withColumn("lengths", lengths)
-    return seen.select("file", "base", F.posexplode("lengths").alias("i", "n_tokens")).select("file", (F.col("base") + F.col("i")).alias("ordinal"), "n_tokens")
+    seen = seen.select("file", "block", "base", "ends", (F.col("carry") + F.col("head")).alias("first"), F.when(last & (rest > 0), rest).alias("rest"))
+    joined = seen.join(scanned.select("file", "block", "inner").hint("merge"), ["file", "block"])
+    whole = F.when(F.col("ends") > 0, F.concat(F.array("first"), "inner")).otherwise(F.array().cast("array<bigint>"))
+    lengths = F.when(F.col("rest").isNotNull(), F.concat(whole, F.array("rest"))).otherwise(whole)
+    return joined.select("file", "base", F.posexplode(lengths).alias("i", "n_tokens")).select("file", (F.col("base") + F.col("i")).alias("ordinal"), "n_tokens")

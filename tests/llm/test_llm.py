@@ -45,26 +45,76 @@ def count_words(text):
     return len((text or "").encode().split())
 
 
+TAKEN = ("doc_id", "source", "size", "source_size", "target", "taken", "slots", "first_slot")
+
+
 def test_mix_meets_targets_and_caps(spark, docs):
     plan = mixing.mix(docs, block_words=64)
-    got = rows_of(plan.taken, "doc_id", "source", "size", "source_size", "target", "taken")
+    got = rows_of(plan.taken, *TAKEN)
     have = rows_of(docs, "doc_id", "source", "text")
     assert Counter((g[0], g[1], g[2]) for g in got) == Counter((i, s, count_words(t)) for i, s, t in have)
     by = {}
-    for _, s, size, total, target, taken in got:
-        assert 0 <= taken <= 2 * size
+    for _, s, size, total, target, taken, slots, first in got:
+        assert 0 <= taken <= 2 * size and (slots > 0) == (taken > 0) == (first is not None)
         by.setdefault(s, [target, 0])[1] += taken
     assert all(abs(target - taken) <= 0.5 for target, taken in by.values())
-    assert sorted(map(str, got)) == sorted(map(str, rows_of(mixing.mix(docs.repartition(2), block_words=64).taken, "doc_id", "source", "size", "source_size", "target", "taken")))
-    out = mixing.mixed_documents(docs.filter("doc_id is not null and doc_id < 60").dropDuplicates(["doc_id"]), mixing.mix(docs.filter("doc_id is not null and doc_id < 60").dropDuplicates(["doc_id"]), block_words=64), ["doc_id", "text", "n_chars"])
-    took = dict(rows_of(mixing.mix(docs.filter("doc_id is not null and doc_id < 60").dropDuplicates(["doc_id"]), block_words=64).taken, "doc_id", "taken"))
-    made = Counter()
-    for i, t in rows_of(out, "doc_id", "text"):
-        made[i] += count_words(t)
-    assert made == Counter({i: n for i, n in took.items() if n})
+    assert sorted(map(str, got)) == sorted(map(str, rows_of(mixing.mix(docs.repartition(2), block_words=64).taken, *TAKEN)))
     assert mixing.mix(docs.limit(0)).taken.count() == 0
 
 
+def test_schedule_places_what_it_takes(spark, docs, monkeypatch):
+    """Each slot belongs to one source and holds one block of its stream; sources come as
+    evenly as their shares ask at every length of the mix; without the points they don't."""
+    plan = mixing.mix(docs, block_words=64)
+    need = {s["source"]: s["need"] for s in plan.sources}
+    slots = {}
+    for slot, at, source, words in sorted(rows_of(plan.pieces, "slot", "at", "source", "words"), key=lambda r: r[:2]):
+        had = slots.setdefault(slot, [source, 0])
+        assert had[0] == source and had[1] == at  # no gap within a block
+        had[1] += words
+    assert Counter(s for s, _ in slots.values()) == Counter({s: n for s, n in need.items() if n})
+    assert all(n <= 64 for _, n in slots.values())
+    total = sum(need.values())
+
+    def unevenness(places):
+        worst, seen = 0, Counter()
+        for i, s in enumerate(places, 1):
+            seen[s] += 1
+            worst = max(worst, max(abs(seen[x] - i * need[x] / total) for x in need))
+        return worst
+
+    order = [slots[k][0] for k in sorted(slots)]
+    assert unevenness(order) < 4 < unevenness(sorted(order, key=str))
+    firsts = Counter(r[0] for r in rows_of(plan.taken, "first_slot"))
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    other = mixing.mix(docs, block_words=64)
+    assert Counter(r[0] for r in rows_of(other.taken, "first_slot")) != firsts
+
+
+def test_mixed_documents_follow_the_plan(spark, docs):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    plan = mixing.mix(docs, block_words=64, identity=columns)
+    out = [tuple(r) for r in mixing.mixed_documents(docs, plan, columns).collect()]
+    made, took = Counter(), Counter()
+    for r in out:
+        made[(r[0], r[2], r[3])] += count_words(r[1])
+    whole = {(i, l, s, n): t for i, t, l, s, n in rows_of(docs, *columns)}
+    for i, s, size, taken in rows_of(plan.taken, "doc_id", "source", "size", "taken"):
+        took[(i, s)] += taken
+    by_id = Counter()
+    for (i, _, s), n in made.items():
+        by_id[(i, s)] += n
+    assert by_id == Counter({k: n for k, n in took.items() if n})
+    texts = {i: t for i, t, *_ in rows_of(docs, *columns) if t}
+    assert all(r[0] is None or texts[r[0]].startswith(r[1]) for r in out) and all(r[4] == len(r[1]) for r in out) and whole
+    # rows come in the order of their first slots
+    first = {}
+    for slot, at, i, s in sorted(rows_of(plan.pieces, "slot", "at", "doc_id", "source"), key=lambda r: r[:2]):
+        first.setdefault((i, s), (slot, at))
+    seen = list(dict.fromkeys((r[0], r[3]) for r in out))
+    assert seen == sorted(seen, key=first.get)
+
+
 def test_capped_targets_by_hand():
     assert mixing.capped_targets([10, 10, 100], [3, 1, 2], 1.5, 2) == pytest.approx([20, 20, 140])
     assert mixing.capped_targets([], [], 1.5, 2) == [] and mixing.capped_targets([0, 0], [3, 1], 1.5, 2) == [0, 0]
@@ -133,18 +183,33 @@ def test_exact_groups(spark, docs):
     for i, h, k, n, kept in got:
         assert n == sizes[h] and k == keep[h] and (not kept or i == k)
     assert Counter(g[1] for g in got if g[4]) == Counter(dict.fromkeys(sizes, 1))
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.exact_groups(docs.limit(0), buckets=2).count() == 0
     assert exact_dedup.distinct_documents(docs, ["doc_id", "text", "lang"]).count() == len(sizes)
 
 
 def test_digest_index_goes_on(spark, docs):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     rows = docs.select("doc_id", exact_dedup.text_digest(F.col("text")).alias("digest"))
-    first = index.add(rows.filter("doc_id < 30")).count()
-    again = index.add(rows).count()
-    assert first and again and index.table().count() == first + again == rows.select("digest").distinct().count()
-    assert index.add(rows).count() == 0
-    spark.sql(f"drop table {index.name}")
+    want = {r[0]: (r[1], r[2]) for r in rows.groupBy("digest").agg(F.max("doc_id"), F.count(F.lit(1))).collect()}
+    first = index.add(rows.filter("doc_id < 30"), "one").count()
+    assert first and index.add(rows.filter("doc_id < 30"), "one").count() == first  # run again: as if once
+    second = index.add(rows.filter("doc_id >= 30 or doc_id is null"), "two")
+    assert "SortMergeJoin" in index.groups()._jdf.queryExecution().toString() and index.table().count() == first + second.count() == len(want)
+    assert {r[0]: (r[1], r[2]) for r in index.groups().collect()} == want
+    assert index.add(rows, "three").count() == 0
+    index.drop()
+
+
+def test_exact_groups_against_a_lasting_index(spark, docs):
+    """Without the anti-join a text of both batches would be two groups."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    old = spark.createDataFrame([(7000, "held before"), (2, "held before"), (9999, "other")], "doc_id long, text string")
+    assert exact_dedup.exact_groups(old, index=index).count() == 3
+    new = spark.createDataFrame([(5, "held before"), (8000, "held before"), (6, "new"), (6, "new")], "doc_id long, text string")
+    got = sorted(rows_of(exact_dedup.exact_groups(new, index=index), "doc_id", "keep_id", "group_size", "kept"))
+    assert got == [(5, 8000, 4, False), (6, 6, 2, False), (6, 6, 2, True), (8000, 8000, 4, True)]
+    index.drop()
+    assert sorted(rows_of(exact_dedup.exact_groups(docs, buckets=2, batches=3), "doc_id", "kept"), key=str) == sorted(rows_of(exact_dedup.exact_groups(docs, buckets=2, batches=1), "doc_id", "kept"), key=str)
 
 
 def test_shards(spark, docs):
@@ -218,13 +283,22 @@ def test_bpe_matches_the_library(spark, docs):
 def test_token_files(spark, docs, block):
     _, other = reference_encoder()
     path = common.scratch_path(spark, f"tokens-{block}")
-    some = docs.filter("doc_id is null or doc_id != 90")
+    some = docs if block > 1 else docs.filter("doc_id is null or doc_id != 90")
     places = common.stored(token_files.write_token_files(some, path, PATH, public_tokenizers.PATTERN, 50256), "places")
     counts = token_files.count_tokens(spark, path, 50256, block_tokens=block)
     got = Counter(rows_of(places.join(counts, ["file", "ordinal"]), "doc_id", "n_tokens"))
     assert got == Counter((i, len(other.encode_ordinary(t or ""))) for i, t in rows_of(some, "doc_id", "text"))
 
 
+def test_token_files_refuse_ids_that_do_not_fit(spark, docs):
+    path = common.scratch_path(spark, "tokens-none")
+    for separator, dtype in ((50256, "<u1"), (70000, "<u2"), (5, "<u2")):
+        with pytest.raises(ValueError):
+            token_files.write_token_files(docs, path, PATH, public_tokenizers.PATTERN, separator, dtype)
+    assert common.stored(token_files.write_token_files(docs.limit(0), path, PATH, public_tokenizers.PATTERN, 50256), "none").count() == 0
+    assert token_files.count_tokens(spark, path, 50256).count() == 0
+
+
 def test_token_file_without_a_last_separator(spark, tmp_path):
     np.array([5, 9, 9, 4, 4, 4], "<u2").tofile(tmp_path / "a.tokens")
     np.array([9], "<u2").tofile(tmp_path / "b.tokens")
@@ -257,6 +331,29 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id in (50, 51)")).count() == 1 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_over_many_shards_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 24)) * 2
+    x = (centre[rng.integers(0, 12, 2600)] + rng.normal(size=(2600, 24))).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = ann.nearest(df, shard_size=100, file_rows=7)  # 26 shards, queries in many files
+    got = {}
+    for q, v in rows_of(found, "query_id", "vec_id"):
+        got.setdefault(q, set()).add(v)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 2600, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit / (5 * 52) >= 0.9
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.1])]
+    for parts in (1, 4):  # the least of a repeated query's vectors asks, (0, 1)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        assert [(q, r, v) for q, r, v in sorted(rows_of(ann.nearest(df), "query_id", "rank", "vec_id"))] == [(0, 1, 1), (0, 2, 2)]
+
+
 def test_quality_learns_and_leaves_held_out_rows_alone(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["red", "blue", "green"]) + ("!!" if i % 2 else "") for _ in range(rng.randrange(1, 40))), i % 2) for i in range(400)]

@@ -33,8 +33,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents once or twice as their source's target asks."""
-    return mixing.mixed_documents(docs, mixing.mix(docs), COLUMNS)
+    """The mix of sources: documents once or twice as their source's target asks, in
+    the order of the schedule."""
+    return mixing.mixed_documents(docs, mixing.mix(docs, identity=COLUMNS), COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

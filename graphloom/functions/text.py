@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Tokens that say nothing about a feature.
-GENERIC = ("api", "app", "code", "component", "data", "file", "function", "handler", "index", "main", "module", "page", "route", "server", "service", "source", "src", "test", "util", "utils")
+GENERIC = ("app", "application", "component", "feature", "file", "function", "handler", "index", "main", "module", "route", "service", "source", "src", "support", "system", "that", "their", "this", "with")
 
 
 def round6(x: Column) -> Column:
@@ -32,16 +32,6 @@ def tokens(text: Column, least: int = 3, stop: tuple[str, ...] = GENERIC) -> Col
     return F.array_sort(F.array_distinct(good))
 
 
-def stem(token: Column) -> Column:
-    """The token without a final ing, ed or s, where three characters remain."""
-    return (
-        F.when(token.rlike("^.{3,}ing$"), F.regexp_replace(token, "ing$", ""))
-        .when(token.rlike("^.{3,}ed$"), F.regexp_replace(token, "ed$", ""))
-        .when(token.rlike("^.{3,}s$"), F.regexp_replace(token, "s$", ""))
-        .otherwise(token)
-    )
-
-
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -65,29 +55,56 @@ def normal_path(path: Column) -> Column:
     return F.when(~F.array_contains(parts, ".."), F.array_join(parts, "/"))
 
 
+#: What is taken off a Markdown line, in this order, and what stands for it.
+MARKDOWN = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?i)<https?://[^>]+>", ""),
+    (r"<[^>]+>", " "),
+    (r"^(?:\s*>\s*)+", ""),
+    (r"^(?:[-*+]\s+|\d+[.)]\s+)", ""),
+    (r"^(?:\|--|->|=>|├──|└──|│\s*(?:├──|└──))\s*", ""),
+    (r"`([^`]*)`", "$1"),
+    (r"[*_~]+", ""),
+    (r"\\([\\`*_\[\]{}()#+.!|>-])", "$1"),
+    (r"(?i)&(?:amp|#38);", "&"),
+    (r"(?i)&(?:lt|#60);", "<"),
+    (r"(?i)&(?:gt|#62);", ">"),
+    (r"(?i)&(?:quot|#34);", '"'),
+    (r"(?i)\bTanStack\s+Query\b", "React Query (TanStack Query)"),
+    (r"\s+", " "),
+)
+
+
 def strip_markdown(text: Column) -> Column:
-    """Text of a Markdown line: links and images by their label, no emphasis, code
-    marks, headings, list marks or tags."""
-    for pattern, put in (
-        (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"<[^>]+>", " "),
-        (r"^\s{0,3}(#{1,6}|[-*+]|\d+[.)]|>)\s+", ""),
-        (r"[`*_~]+", ""),
-        (r"\s+", " "),
-    ):
+    """Plain text of Markdown: links and images by their label, code by its text, no
+    tags, quote, list or tree marks at the start, no emphasis; escapes and entities
+    undone. Null stays null."""
+    for pattern, put in MARKDOWN:
         text = F.regexp_replace(text, pattern, put)
     return F.trim(text)
 
 
 def normal_route(route: Column) -> Column:
-    """A route with any parameter as ``{}``, without query, trailing punctuation or slash."""
-    out = F.regexp_replace(route, r"[?#].*$", "")
-    out = F.regexp_replace(out, r"\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*|\[[^\]/]*\]|<[^>/]*>", "{}")
-    out = F.regexp_replace(out, r"[.,;:!]+$", "")
-    return F.regexp_replace(out, r"(.)/+$", "$1")
+    """A route without query and closing punctuation, ``{x}`` as ``{}``, single slashes,
+    none at the end, in lower case."""
+    out = F.regexp_replace(route, r"(?s)[?#].*$", "")
+    out = F.regexp_replace(out, r"[),.;:!?]+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\{[^/{}]+\}", "{}"), "/{2,}", "/")
+    return F.lower(F.when(F.length(out) > 1, F.regexp_replace(out, "/+$", "")).otherwise(out))
+
+
+#: Names of test folders, and patterns of test files.
+TEST_FOLDERS = ("test", "tests", "__tests__", "spec", "specs", "__snapshots__")
+TEST_FILES = (r"\.(?:test|spec)\.[^.]+$", r"^(?:test_.+|.+_test)\.py$", r"^conftest\.py$", r"_test\.go$", r"^(?:test_.+|.+_spec)\.rb$", r"_test\.rs$", r"\.bats$")
+TEST_CLASS_FILE = r"(?:Test|Tests|TestCase)\.(?:java|kt|kts|cs|php)$"
 
 
 def is_test_path(path: Column) -> Column:
-    """Whether a path is a test's: by a directory's name or by the file's."""
-    low = F.lower(path)
-    return low.rlike(r"(^|/)(test|tests|__tests__|spec|specs|__snapshots__)/") | low.rlike(r"(^|/)(test_[^/]*|[^/]*_test|[^/]*[.-](test|spec)|conftest)\.[^/]+$")
+    """Whether a path is a test's: by a folder's name or by the file's. A null path is
+    no test's."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda s: s != "")
+    name = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.lower(s))
+    named = F.lower(name).rlike("|".join(TEST_FILES)) | name.rlike(TEST_CLASS_FILE)
+    return F.coalesce(F.arrays_overlap(folders, F.array(*map(F.lit, TEST_FOLDERS))) | named, F.lit(False))

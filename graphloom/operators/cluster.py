@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import round6, tokens
+from ..functions.storage import stored
+from ..functions.text import basename, round6, slug, tokens
+from ..functions.unique import numbered
 from ..plans.graph import EDGE_WEIGHTS, EvidenceGraph
+from .reach import whole_ledger
 from .traverse import components, propagate
 
 
@@ -37,21 +40,56 @@ def seeds(graph: EvidenceGraph) -> DataFrame:
     return own.union(handler).union(ends).toDF("cluster_id", "node_id").withColumn("score", F.lit(1.0))
 
 
-def members(graph: EvidenceGraph, threshold: float = 0.28, max_depth: int = 12, weights: dict[str, float] | None = None) -> DataFrame:
-    """(cluster_id, node_id, score) by best products of weights."""
-    return propagate(seeds(graph), weighted_edges(graph, weights), threshold, max_depth).select("cluster_id", "node_id", "score")
+def paths(graph: EvidenceGraph, threshold: float = 0.28, max_depth: int = 12, weights: dict[str, float] | None = None, factor: float = 0.72) -> DataFrame:
+    """(cluster_id, node_id, score, kin) by best products of weights; then the members'
+    files, and what those or other members are configured by, once and not onward."""
+    best = F.max(F.struct("score", (~F.col("kin")).alias("plain"))).alias("b")
+    keep = lambda df: df.groupBy("cluster_id", "node_id").agg(best).select("cluster_id", "node_id", "b.score", (~F.col("b.plain")).alias("kin"))
+    near = F.col("score") + 1e-9 >= threshold
+    found = stored(propagate(seeds(graph), weighted_edges(graph, weights), threshold, max_depth).select("cluster_id", "node_id", "score", "kin"), "members")
+    own = graph.nodes.filter("file_id is not null").select("node_id", "file_id")
+    files = found.join(own, "node_id").select("cluster_id", F.col("file_id").alias("node_id"), (F.col("score") * factor).alias("score"), "kin").filter(near)
+    both = keep(found.unionByName(files))
+    set_by = graph.edges.filter("type = 'CONFIGURED_BY'").select(F.col("source").alias("node_id"), "target").distinct()
+    weight = (EDGE_WEIGHTS | (weights or {}))["CONFIGURED_BY"]
+    config = both.join(set_by, "node_id").select("cluster_id", F.col("target").alias("node_id"), (F.col("score") * weight).alias("score"), "kin").filter(near)
+    return keep(both.unionByName(config))
 
 
-def owning_files(graph: EvidenceGraph, found: DataFrame, factor: float = 0.72) -> DataFrame:
-    """(cluster_id, node_id, score): files of members, once and not onward."""
-    own = graph.nodes.filter("file_id is not null").select("node_id", "file_id")
-    files = found.join(own, "node_id").groupBy("cluster_id", "file_id").agg((F.max("score") * factor).alias("score"))
-    return files.select("cluster_id", F.col("file_id").alias("node_id"), round6(F.col("score")).alias("score"))
+def roles(graph: EvidenceGraph) -> DataFrame:
+    """(node_id, role): what a node is to a feature."""
+    handlers = graph.nodes.filter("handler_symbol_id is not null").select(F.col("handler_symbol_id").alias("node_id"), F.lit(True).alias("handles")).distinct()
+    kind = F.col("node_type")
+    role = F.when(kind.isin("entrypoint", "endpoint"), "entrypoint").when(kind.isin("component", "screen"), "ui").when(kind.isin("schema", "event", "test", "config", "file"), kind).when(F.col("handles"), "handler").otherwise("service")
+    return graph.nodes.select("node_id", "node_type").join(handlers, "node_id", "left").select("node_id", role.alias("role"))
+
+
+def members(graph: EvidenceGraph, entries: DataFrame, threshold: float = 0.28, max_depth: int = 12, weights: dict[str, float] | None = None) -> DataFrame:
+    """(cluster_id, node_id, role, score, class) of what belongs to each external
+    entrypoint: of its ``paths``, what product code reaches by the ledger ``entries``
+    (node_id, file_id, class), tests in a test's role, and unproven nodes that a class
+    context brought in."""
+    rows = paths(graph, threshold, max_depth, weights).join(roles(graph), "node_id").join(whole_ledger(entries), "node_id", "left")
+    rows = rows.withColumn("class", F.coalesce("class", F.lit("dynamic_unknown")))
+    ok = (F.col("class") == "product_reachable") | ((F.col("class") == "test_only") & (F.col("role") == "test")) | (F.col("class").isin("dynamic_unknown", "disconnected_candidate") & F.col("kin"))
+    return rows.filter(ok).select("cluster_id", "node_id", "role", round6(F.col("score")).alias("score"), "class")
+
+
+def violations(found: DataFrame) -> DataFrame:
+    """Members that the ledger doesn't let into a feature: a right clustering has none.
+    Startup and public-API nodes never belong, test-only ones only as tests."""
+    return found.filter("class in ('startup_reachable', 'public_api_unproven') or (class = 'test_only' and role != 'test')").select("cluster_id", "node_id", "class")
+
+
+def owning_files(found: DataFrame) -> DataFrame:
+    """(cluster_id, node_id, score): the files among the members."""
+    return found.filter("role = 'file'").select("cluster_id", "node_id", "score")
 
 
-def shared_nodes(graph: EvidenceGraph, found: DataFrame, least: float = 0.4) -> DataFrame:
-    """(node_id, clusters): functions that two clusters or more hold at ``least``."""
-    rows = found.filter(F.col("score") >= least).join(graph.nodes.filter("node_type = 'function' and exported is not null").select("node_id"), "node_id", "left_semi")
+def shared_nodes(found: DataFrame, least: float = 0.4) -> DataFrame:
+    """(node_id, clusters): members that two clusters or more hold at ``least``, other
+    than entrypoints, handlers, tests and files."""
+    rows = found.filter(~F.col("role").isin("entrypoint", "handler", "test", "file") & (F.col("score") + 1e-9 >= least))
     return rows.groupBy("node_id").agg(F.countDistinct("cluster_id").alias("clusters")).filter("clusters >= 2")
 
 
@@ -59,21 +97,55 @@ def subsystems(graph: EvidenceGraph, shared: DataFrame) -> DataFrame:
     """(node_id, component): shared nodes joined by edges between them or by a file;
     a file's nodes are joined as a star to its least node."""
     ids = shared.select("node_id")
-    e = graph.edges.select("source", "target").join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
-    own = graph.nodes.select("node_id", "file_id").join(ids, "node_id", "left_semi")
+    e = graph.edges.filter("type not in ('CONTAINS', 'IMPORTS')").select("source", "target")
+    e = e.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    own = graph.nodes.filter("file_id is not null").select("node_id", "file_id").join(ids, "node_id", "left_semi")
     hub = own.groupBy("file_id").agg(F.min("node_id").alias("hub"))
     star = own.join(hub, "file_id").select(F.col("node_id").alias("source"), F.col("hub").alias("target"))
     joined = components(e.unionByName(star))
     return ids.join(joined, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def unassigned(graph: EvidenceGraph, found: DataFrame, entries: DataFrame) -> DataFrame:
-    """(node_id, reason): functions of no cluster outside tests, isolated where no edge
-    touches them."""
-    fn = graph.nodes.filter("node_type in ('function', 'class')").select("node_id")
-    touched = graph.edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct().withColumn("hit", F.lit(True))
-    rows = fn.join(found.select("node_id").distinct(), "node_id", "left_anti").join(entries.filter("class not in ('test_only')").select("node_id", "class"), "node_id")
-    return rows.join(touched, "node_id", "left").select("node_id", F.when(F.col("hit"), "disconnected").otherwise("isolated").alias("reason"))
+def subsystem_members(graph: EvidenceGraph, joined: DataFrame) -> DataFrame:
+    """(component, node_id): ``subsystems`` with their files and all symbols and entities
+    of those files."""
+    own = graph.nodes.filter("file_id is not null")
+    files = joined.join(own.select("node_id", "file_id"), "node_id").select("component", "file_id").distinct()
+    inside = files.join(own.filter("node_type != 'entrypoint'").select("node_id", "file_id"), "file_id").select("component", "node_id")
+    return joined.select("component", "node_id").union(files.select("component", F.col("file_id"))).union(inside).distinct()
+
+
+def subsystem_labels(graph: EvidenceGraph, joined: DataFrame) -> DataFrame:
+    """(component, id, label): the token with most votes of a component's nodes, one for
+    each node's name and two for its file's; ties to the longer and then the first."""
+    stem = F.regexp_replace(basename(F.col("path")), r"\.[^.]+$", "")
+    n = graph.nodes.select("node_id", F.explode(F.concat(F.transform(tokens(F.coalesce("name", F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(1).alias("votes"))), F.when(F.col("file_id").isNotNull(), F.transform(tokens(stem), lambda t: F.struct(t.alias("term"), F.lit(2).alias("votes")))).otherwise(F.array().cast("array<struct<term:string,votes:int>>")))).alias("t"))
+    votes = joined.join(n, "node_id").groupBy("component", "t.term").agg(F.sum("t.votes").alias("votes"))
+    best = votes.groupBy("component").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.length("term")).alias("l"), "term")).alias("b"))
+    named = joined.select("component").distinct().join(best, "component", "left").withColumn("label", F.concat(F.initcap(F.coalesce("b.term", F.lit("shared"))), F.lit(" subsystem")))
+    named = numbered(named.select("component", "label"), ["component"])
+    return named.select("component", F.concat(F.lit("subsystem:"), slug(F.col("label")), F.lit(":"), F.col("place").cast("string")).alias("id"), "label")
+
+
+def unassigned(graph: EvidenceGraph, found: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node_id, reason): symbols and entities of no cluster and no subsystem, isolated
+    where no edge but containment and import touches them. Endpoints, tests, configs,
+    symbols that stand for a config or test, and files with a test are left out."""
+    n = graph.nodes.filter("node_type not in ('file', 'entrypoint', 'endpoint', 'test', 'config')").select("node_id", "file_id")
+    support = graph.nodes.filter("node_type in ('config', 'test') and symbol_id is not null").select(F.col("symbol_id").alias("node_id"))
+    tests = graph.nodes.filter("node_type = 'test'").select("file_id")
+    taken = found.select("node_id").union(subsystem_members(graph, joined).select("node_id")).union(support)
+    touched = graph.edges.filter("type not in ('CONTAINS', 'IMPORTS')").select(F.explode(F.array("source", "target")).alias("node_id")).distinct().withColumn("hit", F.lit(True))
+    rows = n.join(taken, "node_id", "left_anti").join(tests, "file_id", "left_anti").join(touched, "node_id", "left")
+    return rows.select("node_id", F.when(F.col("hit"), "disconnected").otherwise("isolated").alias("reason"))
+
+
+def statistics(graph: EvidenceGraph, found: DataFrame, loose: DataFrame) -> DataFrame:
+    """One row: external entrypoints, nodes in clusters, nodes in more than one, and
+    ``unassigned`` nodes."""
+    held = found.groupBy("node_id").agg(F.countDistinct("cluster_id").alias("n")).agg(F.count(F.lit(1)).alias("clustered_nodes"), F.count_if(F.col("n") > 1).alias("overlapping_nodes"))
+    entries = graph.nodes.agg(F.count_if((F.col("node_type") == "entrypoint") & (F.col("exposure") == "external")).alias("external_entrypoints"))
+    return entries.crossJoin(held).crossJoin(loose.agg(F.count(F.lit(1)).alias("unassigned_nodes")))  # one row each
 
 
 def impact(found: DataFrame) -> DataFrame:

@@ -11,17 +11,21 @@ SYMBOLS = ("function", "class", "variable")
 
 
 def definitions(graph: EvidenceGraph, wanted: DataFrame) -> DataFrame:
-    """(wanted, node_id, confidence, ambiguous) for names in ``wanted`` (wanted): by
-    exact name, then by the name after the last dot, then without case; the first tier
-    that has any wins. Each tier is an equi-join on a derived key."""
+    """(wanted, node_id, confidence, ambiguous) for names in ``wanted`` (wanted): symbols
+    of just that name, else those named so after their last dot, else either of the two
+    without case. Confidence is 1, 0.95 or 0.85. Each tier is an equi-join on a key of
+    the symbol; a name with no definition gives no row."""
     n = graph.nodes.filter(F.col("node_type").isin(*SYMBOLS)).select("node_id", "name")
-    keys = n.select("node_id", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("name").alias("key")), F.struct(F.lit(2).alias("tier"), F.substring_index("name", ".", -1).alias("key")), F.struct(F.lit(3).alias("tier"), F.lower("name").alias("key")))).alias("k"))
-    asked = wanted.select("wanted", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("wanted").alias("key")), F.struct(F.lit(2).alias("tier"), F.substring_index("wanted", ".", -1).alias("key")), F.struct(F.lit(3).alias("tier"), F.lower("wanted").alias("key")))).alias("k"))
-    hits = asked.join(keys, "k").groupBy("wanted", "node_id").agg(F.min("k.tier").alias("tier"))
-    best = Window.partitionBy("wanted")
-    hits = hits.withColumn("best", F.min("tier").over(best)).filter("tier = best").withColumn("n", F.count(F.lit(1)).over(best))
+    last = F.substring_index("name", ".", -1)
+    keys = [(1, F.col("name")), (2, last), (3, F.lower("name")), (3, F.lower(last))]
+    keyed = n.select("node_id", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), k.alias("key")) for t, k in keys))).alias("k"))
+    asked = [(1, F.col("wanted")), (2, F.col("wanted")), (3, F.lower("wanted"))]
+    asked = wanted.select("wanted").distinct().select("wanted", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), k.alias("key")) for t, k in asked))).alias("k"))
+    hits = asked.join(keyed, "k").groupBy("wanted", "node_id").agg(F.min("k.tier").alias("tier"))
+    first = hits.join(hits.groupBy("wanted").agg(F.min("tier").alias("tier")), ["wanted", "tier"])
+    many = first.groupBy("wanted").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
     confidence = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.95).otherwise(0.85)
-    return hits.select("wanted", "node_id", confidence.alias("confidence"), (F.col("n") > 1).alias("ambiguous"))
+    return first.join(many, "wanted").select("wanted", "node_id", confidence.alias("confidence"), "ambiguous")
 
 
 def related(graph: EvidenceGraph, types: tuple[str, ...], direction: str = "in") -> DataFrame:

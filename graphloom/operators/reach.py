@@ -6,23 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
+from ..functions.unique import exactly_one
 from ..plans.graph import MEANINGFUL, REACHING, EvidenceGraph
 from .traverse import bfs
 
+#: Names of startup entrypoints by which React mounts an application.
+BOOTSTRAPS = ("React createRoot", "React hydrateRoot", "React render")
+LEGACY_RENDER = "React render"
 #: The ledger's classes, strongest first.
-CLASSES = ("product_reachable", "startup_reachable", "test_only", "public_api_unproven", "dynamic_unknown", "disconnected_candidate")
+CLASSES = ("product_reachable", "startup_reachable", "test_only", "dynamic_unknown", "public_api_unproven", "disconnected_candidate")
 
 
 def roots(graph: EvidenceGraph) -> DataFrame:
     """(kind, node_id): endpoints and files of handler-less external command lines are
-    external; startup entrypoints and their handlers are internal; test files are test."""
+    external; startup entrypoints, their handlers, the files of React bootstraps and what
+    a legacy render mounts (its file and methods too) are internal; test files are test."""
     n = graph.nodes
     startup = n.filter("node_type = 'entrypoint' and exposure = 'startup'")
+    # the component that a legacy render mounts: the only symbol its own line refers to
+    mounts = startup.filter(F.col("name") == LEGACY_RENDER).select("file_id", "path", "line_start")
+    drawn = graph.edges.filter("type = 'REFERENCES' and ev_extractor = 'tree-sitter'").join(mounts, (F.col("source") == F.col("file_id")) & (F.col("ev_file") == F.col("path")) & (F.col("ev_line") == F.col("line_start")))
+    drawn = exactly_one(drawn.select("file_id", "line_start", "target"), ["file_id", "line_start"], "target")
+    parts_of = n.filter("node_type in ('function', 'class', 'variable')").select("node_id", "node_type", F.col("file_id").alias("own_file"), "name")
+    drawn = drawn.select("target").distinct().join(parts_of, F.col("target") == F.col("node_id"))
+    methods = drawn.filter("node_type = 'class'").select("own_file", F.col("name").alias("class_name")).join(parts_of, "own_file").filter(F.col("name").startswith(F.concat("class_name", F.lit("."))))
     parts = [
         n.filter("node_type = 'endpoint'").select(F.lit("external").alias("kind"), "node_id"),
         n.filter("node_type = 'entrypoint' and exposure = 'external' and entry_kind = 'cli' and handler_symbol_id is null").select(F.lit("external"), "file_id"),
         startup.select(F.lit("internal"), "node_id"),
         startup.filter("handler_symbol_id is not null").select(F.lit("internal"), "handler_symbol_id"),
+        startup.filter(F.col("name").isin(*BOOTSTRAPS)).select(F.lit("internal"), "file_id"),
+        drawn.select(F.lit("internal"), "node_id"),
+        drawn.select(F.lit("internal"), "own_file"),
+        methods.select(F.lit("internal"), "node_id"),
         n.filter((F.col("node_type") == "file") & is_test_path(F.col("path"))).select(F.lit("test"), "node_id"),
     ]
     out = parts[0]
@@ -99,6 +115,11 @@ def file_rollup(entries: DataFrame) -> DataFrame:
     return best.select("file_id", "b.class", "b.node_id")
 
 
+def whole_ledger(entries: DataFrame) -> DataFrame:
+    """(node_id, class) of owned nodes and of the files that own any."""
+    return entries.select("node_id", "class").unionByName(file_rollup(entries).select(F.col("file_id").alias("node_id"), "class"))
+
+
 def class_counts(entries: DataFrame) -> DataFrame:
     """(class, n) with a row for every class."""
     spark = entries.sparkSession

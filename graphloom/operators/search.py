@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
 from ..functions.text import normal
 from ..plans.graph import EvidenceGraph
 
@@ -43,36 +42,55 @@ def seeds(found: DataFrame, most: int = 5) -> DataFrame:
 
 
 def neighbourhood(graph: EvidenceGraph, start: DataFrame, max_depth: int = 2, max_nodes: int = 50) -> DataFrame:
-    """(node_id, depth, priority) around ``start`` (node_id), edges both ways. Nodes
-    come by depth, then by how they were reached (handler 0, call 1, import 2, other 3),
-    then by id; at most ``max_nodes`` stay."""
-    e = graph.edges
-    how = F.when(F.col("type") == "HANDLED_BY", 0).when(F.col("type") == "CALLS", 1).when(F.col("type") == "IMPORTS", 2).otherwise(3)
-    links = e.select("source", "target", how.alias("p")).union(e.select("target", "source", how)).groupBy("source", "target").agg(F.min("p").alias("p"))
-    seen = stored(start.select("node_id", F.lit(0).alias("depth"), F.lit(0).alias("priority")), "near")
+    """(place, node_id, depth, truncated) around ``start`` (node_id, score), edges both ways, in the
+    order of a queue: seeds by score and id; then each node's own neighbours by how they
+    are linked (handler 0, call 1, import 2, other 3) and id. The first ``max_nodes``
+    stay; ``truncated`` says whether some node next to them was left out. A round's
+    frontier has ``max_nodes`` rows at most, whatever the graph."""
+    e, spark = graph.edges, start.sparkSession
+    how = F.when(F.col("type") == "CALLS", 1).when(F.col("type") == "IMPORTS", 2).otherwise(3)
+    handled = graph.nodes.filter("node_type = 'entrypoint' and handler_symbol_id is not null").select("node_id", "handler_symbol_id", F.lit(0))
+    both = e.select("source", "target", how.alias("p")).union(handled)
+    links = both.union(both.select("target", "source", "p")).toDF("source", "target", "p")
+    picked = [(i, r["node_id"], 0) for i, r in enumerate(start.orderBy(F.col("score").desc(), "node_id").limit(max_nodes).collect())]
+    schema = "place int, node_id string, depth int"
+    front = picked
     for depth in range(1, max_depth + 1):
-        step = seen.filter(F.col("depth") == depth - 1).join(links, F.col("node_id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.min("p").alias("priority"))
-        step = step.join(seen, F.col("id") == F.col("node_id"), "left_anti").select(F.col("id").alias("node_id"), F.lit(depth).alias("depth"), "priority")
-        seen = stored(seen.unionByName(step), "near")
-    return seen.orderBy("depth", "priority", "node_id").limit(max_nodes)
+        room = max_nodes - len(picked)
+        if not front or not room:
+            break
+        seen = F.broadcast(spark.createDataFrame(picked, schema).select(F.col("node_id").alias("target")))
+        step = links.join(F.broadcast(spark.createDataFrame(front, schema).select("place", F.col("node_id").alias("source"))), "source").join(seen, "target", "left_anti")
+        step = step.groupBy("target").agg(F.min(F.struct("place", "p")).alias("by")).orderBy("by.place", "by.p", "target").limit(room).collect()
+        front = [(len(picked) + i, r["target"], depth) for i, r in enumerate(step)]
+        picked += front
+    out = spark.createDataFrame(picked, schema)
+    inside = F.broadcast(out.select(F.col("node_id").alias("source")))
+    left = links.join(inside, "source", "left_semi").join(F.broadcast(out.select(F.col("node_id").alias("target"))), "target", "left_anti").limit(1).count() > 0
+    return out.withColumn("truncated", F.lit(left))
 
 
 def induced_edges(graph: EvidenceGraph, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """Edges with both ends in ``nodes`` (node_id, depth), nearest first."""
+    """Edges with both ends in ``nodes`` (node_id, depth), nearest first: by the larger
+    depth, by kind (call, import, other), by ends, type and evidence; the first ``most``."""
     a = nodes.select(F.col("node_id").alias("source"), F.col("depth").alias("ds"))
     b = nodes.select(F.col("node_id").alias("target"), F.col("depth").alias("dt"))
-    e = graph.edges.select("source", "target", "type").distinct().join(a, "source").join(b, "target")
-    return e.select("source", "target", "type", F.greatest("ds", "dt").alias("depth")).orderBy("depth", "type", "source", "target").limit(most)
+    e = graph.edges.join(F.broadcast(a), "source").join(F.broadcast(b), "target")
+    how = F.when(F.col("type") == "CALLS", 1).when(F.col("type") == "IMPORTS", 2).otherwise(3)
+    rows = e.select("source", "target", "type", F.greatest("ds", "dt").alias("depth"), how.alias("p"), F.coalesce("ev_file", F.lit("")).alias("f"), F.coalesce("ev_line", F.lit(0)).alias("l"), "ev_extractor")
+    return rows.orderBy("depth", "p", "source", "target", "type", "f", "l", "ev_extractor").limit(most).select("source", "target", "type", "depth")
 
 
 def symbol_scores(graph: EvidenceGraph, query: str, most: int = 50) -> DataFrame:
-    """(node_id, score): symbols by name, exact 1000, prefix 800, within 600, all
-    tokens in the name 500, in name and path 400."""
+    """(node_id, score): symbols that hold every token of ``query`` in name, type, path
+    or id: by exact name 1000, with the query in the name 800, in the path 600, in the
+    id 500, else 400; the first ``most`` by score and id."""
     n = graph.nodes.filter(F.col("node_type").isin("function", "class", "variable"))
-    q, name, path = normal(F.lit(query)), normal(F.col("name")), normal(F.coalesce("path", F.lit("")))
-    inside = lambda text: F.size(F.filter(F.split(q, " "), lambda t: ~F.contains(text, t))) == 0
-    score = F.when(name == q, 1000).when(name.startswith(q), 800).when(name.contains(q), 600).when(inside(name), 500).when(inside(F.concat_ws(" ", name, path)), 400)
-    return n.select("node_id", score.cast("long").alias("score")).filter("score is not null").orderBy(F.col("score").desc(), "node_id").limit(most)
+    q, name, path, own = normal(F.lit(query)), normal(F.col("name")), normal(F.coalesce("path", F.lit(""))), normal(F.col("node_id"))
+    every = F.concat_ws(" ", name, F.col("node_type"), path, own)
+    score = F.when(name == q, 1000).when(name.contains(q), 800).when(path.contains(q), 600).when(own.contains(q), 500).otherwise(400)
+    rows = n.filter((q != "") & F.forall(F.split(q, " "), lambda t: F.contains(every, t)))
+    return rows.select("node_id", score.cast("long").alias("score")).orderBy(F.col("score").desc(), "node_id").limit(most)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import routes, text as tx
+from ..functions.storage import stored
 from ..functions.unique import exactly_one, first_tier
 from ..operators import audit, claims, cluster, constraints, coverage, deadcode, featuremap, navigate, python_source, reach, resolve, search, structure, traverse
 from .graph import EvidenceGraph, commerce_graph
-from .oracle import over_graph, tokens
+from .oracle import over_graph, over_map, tokens
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -65,7 +66,7 @@ def symbol_ledger_counts(spark, d):
     return _ledger(_graph(spark, d)).filter("node_id like 'function:%'").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(over_graph("select file_id, arg_min(class, (p, node_id)) as class, arg_min(node_id, (p, node_id)) as node_id from (select *, list_position(['product_reachable','startup_reachable','test_only','public_api_unproven','dynamic_unknown','disconnected_candidate'], class) as p from ledger) group by file_id"))
+@query(over_graph("select file_id, arg_min(class, (p, node_id)) as class, arg_min(node_id, (p, node_id)) as node_id from (select *, list_position(['product_reachable','startup_reachable','test_only','dynamic_unknown','public_api_unproven','disconnected_candidate'], class) as p from ledger) group by file_id"))
 def ledger_file_rollup(spark, d):
     return reach.file_rollup(_ledger(_graph(spark, d)))
 
@@ -93,8 +94,7 @@ def public_api_variant(spark, d):
 def shortest_path_counts(spark, d):
     g = _graph(spark, d)
     e = g.edges.filter("type in ('CALLS', 'REFERENCES', 'HANDLED_BY')").select("source", "target", "type")
-    lv = reach.levels(g).filter("kind = 'external'").select("node_id", "depth")
-    return traverse.count_shortest_paths(lv, e)
+    return traverse.shortest_path_counts(reach.roots(g).filter("kind = 'external'"), e)
 
 
 @query(over_graph(", lv as (select node_id, depth from levels where kind = 'external'), w(node_id, depth, path) as (select node_id, 0, node_id from lv where depth = 0 union all select target, w.depth + 1, w.path || ' ' || target from w join (select distinct source, target from edges) on source = w.node_id join lv on lv.node_id = target and lv.depth = w.depth + 1) select node_id, depth, path from (select *, row_number() over (partition by node_id order by path) as r from w) where r <= 3"))
@@ -105,7 +105,7 @@ def bounded_paths_topk(spark, d):
     return traverse.best_shortest_paths(lv, e, 3).select("node_id", "depth", F.array_join("path", " ").alias("path"))
 
 
-@query(over_graph(", back(node_id, depth) as (select node_id, 0 from nodes where node_type = 'endpoint' union select target, depth + 1 from back join edges on source = node_id where depth < 20) select node_id, min(depth) as depth from back where node_id like 'function:part:%' group by node_id"))
+@query(over_graph(", back(node_id, depth) as (select node_id, 0 from nodes where node_type = 'endpoint' union select target, depth + 1 from back join edges on source = node_id where depth < 20) select node_id, min(depth) as depth from back group by node_id"))
 def paths_to_external_behavior(spark, d):
     """Least steps from each node to an endpoint, against the edges."""
     g = _graph(spark, d)
@@ -162,7 +162,7 @@ def constraint_broken_graph(spark, d):
 # ---- navigation and search --------------------------------------------------
 
 
-@query(over_graph(", k as (select node_id, 1 as tier, name as key from symbols union all select node_id, 2, regexp_extract(name, '[^.]*$') from symbols union all select node_id, 3, lower(name) from symbols), a as (select p_name as wanted from part where p_partkey % 40 = 0 union select upper(c_name) from customer where c_custkey % 50 = 0), ak as (select wanted, 1 as tier, wanted as key from a union all select wanted, 2, regexp_extract(wanted, '[^.]*$') from a union all select wanted, 3, lower(wanted) from a), h as (select wanted, node_id, min(tier) as tier from ak join k using (tier, key) group by all), b as (select *, min(tier) over (partition by wanted) as best from h) select wanted, node_id, case tier when 1 then 1.0::double when 2 then 0.95::double else 0.85::double end as confidence, count(*) over (partition by wanted) > 1 as ambiguous from b where tier = best"))
+@query(over_graph(", a as (select p_name as wanted from part union select upper(c_name) from customer), h as (select wanted, node_id, 1.0::double as confidence from a join symbols on name = wanted union all select wanted, node_id, 0.95 from a join symbols on regexp_extract(name, '[^.]*$') = wanted where wanted not in (select name from symbols)), l as (select wanted, node_id, 0.85::double as confidence from a join symbols on lower(name) = lower(wanted) where wanted not in (select wanted from h) union select wanted, node_id, 0.85 from a join symbols on lower(regexp_extract(name, '[^.]*$')) = lower(wanted) where wanted not in (select wanted from h)), b as (select * from h union all select * from l) select wanted, node_id, confidence, count(*) over (partition by wanted) > 1 as ambiguous from b"))
 def find_definition(spark, d):
     wanted = _read(spark, d, "part").select(F.col("p_name").alias("wanted")).union(_read(spark, d, "customer").select(F.upper("c_name"))).distinct()
     return navigate.definitions(commerce_graph(spark, d), wanted)
@@ -183,7 +183,7 @@ def find_consumers(spark, d):
     return navigate.consumers(commerce_graph(spark, d))
 
 
-@query(over_graph("select node_id, other_id, type from (select source as node_id, target as other_id, type from edges union select target, source, type from edges) where node_id like 'function:supplier:%'"))
+@query(over_graph("select node_id, other_id, type from (select source as node_id, target as other_id, type from edges union select target, source, type from edges)"))
 def get_neighbors(spark, d):
     g = commerce_graph(spark, d)
     kinds = ("CALLS", "REFERENCES", "HANDLED_BY")
@@ -196,9 +196,9 @@ def list_endpoints_page(spark, d):
     return navigate.page(n, ["node_id"], 10, 20)
 
 
-@query(over_graph("select node_id, (case when lower(name) = 'customer 000000017' then 1000 else 0 end)::bigint as score from symbols where 1 = 0 union all select node_id, s::bigint from (select node_id, case when t = 'supplier' then 1000 when starts_with(t, 'supplier') then 800 when contains(t, 'supplier') then 600 end as s from (select node_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as t from symbols)) where s is not null order by 2 desc, 1 limit 50"))
+@query(over_graph(", t as (select node_id, s(name) as n, s(path) as p, s(node_id) as i, 'function' as k from symbols) select node_id, (case when n = 'nation 7' then 1000 when contains(n, 'nation 7') then 800 when contains(p, 'nation 7') then 600 when contains(i, 'nation 7') then 500 else 400 end)::bigint as score from t where contains(n || ' ' || k || ' ' || p || ' ' || i, 'nation') and contains(n || ' ' || k || ' ' || p || ' ' || i, '7') order by 2 desc, 1 limit 50".replace("s(name)", "trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))").replace("s(path)", "trim(regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g'))").replace("s(node_id)", "trim(regexp_replace(lower(node_id), '[^a-z0-9]+', ' ', 'g'))")))
 def search_symbols(spark, d):
-    return search.symbol_scores(commerce_graph(spark, d), "Supplier")
+    return search.symbol_scores(commerce_graph(spark, d), "Nation/7")
 
 
 _SCORES = """, f as (
@@ -221,7 +221,13 @@ def search_scores(spark, d):
     return search.scores(commerce_graph(spark, d), "nation/7")
 
 
-@query(over_graph(_inline(_SCORES) + ", st as (select node_id from hits where score is not null order by score desc, node_id limit 5), two as (select source, target, case type when 'HANDLED_BY' then 0 when 'CALLS' then 1 when 'IMPORTS' then 2 else 3 end as p from edges union all select target, source, case type when 'HANDLED_BY' then 0 when 'CALLS' then 1 when 'IMPORTS' then 2 else 3 end from edges), d1 as (select target as node_id, min(p) as priority from st join two on source = st.node_id where target not in (select node_id from st) group by target), d2 as (select target as node_id, min(p) as priority from d1 join two on source = d1.node_id where target not in (select node_id from st) and target not in (select node_id from d1) group by target) select * from (select node_id, 0 as depth, 0 as priority from st union all select node_id, 1, priority from d1 union all select node_id, 2, priority from d2) order by depth, priority, node_id limit 50"))
+@query(over_graph(_inline(_SCORES) + """, one as (select source, target, case type when 'CALLS' then 1 when 'IMPORTS' then 2 else 3 end as p from edges union all select node_id, handler, 0 from entries),
+both_ways as (select source, target, p from one union all select target, source, p from one),
+st as (select node_id, (row_number() over (order by score desc, node_id) - 1)::int as place from hits where score is not null order by score desc, node_id limit 5),
+d1 as (select node_id, (4 + row_number() over (order by f, node_id))::int as place from (select target as node_id, min((place, p)) as f from st join both_ways on source = node_id where target not in (select node_id from st) group by target) qualify place < 50),
+d2 as (select node_id, ((select count(*) from st) + (select count(*) from d1) - 1 + row_number() over (order by f, node_id))::int as place from (select target as node_id, min((place, p)) as f from d1 join both_ways on source = node_id where target not in (select node_id from st) and target not in (select node_id from d1) group by target) qualify place < 50),
+picked as (select node_id, place, 0 as depth from st union all select node_id, place, 1 from d1 union all select node_id, place, 2 from d2)
+select place, node_id, depth, exists (select 1 from both_ways where source in (select node_id from picked) and target not in (select node_id from picked)) as truncated from picked"""))
 def search_neighborhood(spark, d):
     g = _graph(spark, d)
     return search.neighbourhood(g, search.seeds(search.scores(g, "nation/7")))
@@ -232,34 +238,59 @@ def search_neighborhood(spark, d):
 
 def _members(spark, d):
     g = _graph(spark, d)
-    return g, cluster.members(g)
+    return g, stored(cluster.members(g, _ledger(g)), "members")
 
 
-@query(over_graph("select cluster_id, node_id, floor(score * 1e6 + 0.5) / 1e6 as score from members"))
+@query(over_graph("select cluster_id, node_id, role, floor(score * 1e6 + 0.5) / 1e6 as score from members"))
 def cluster_members(spark, d):
-    return _members(spark, d)[1].select("cluster_id", "node_id", tx.round6(F.col("score")).alias("score"))
+    return _members(spark, d)[1].select("cluster_id", "node_id", "role", "score")
 
 
-@query(over_graph("select cluster_id, file_id as node_id, floor(max(score) * 0.72 * 1e6 + 0.5) / 1e6 as score from members join nodes using (node_id) where file_id is not null group by cluster_id, file_id"))
+@query(over_graph("select cluster_id, node_id, floor(score * 1e6 + 0.5) / 1e6 as score from members where role = 'file'"))
 def cluster_owning_files(spark, d):
-    return cluster.owning_files(*_members(spark, d))
+    return cluster.owning_files(_members(spark, d)[1])
 
 
-@query(over_graph("select node_id, count(distinct cluster_id) as clusters from members join nodes using (node_id) where score >= 0.4 and node_type = 'function' group by node_id having count(distinct cluster_id) >= 2"))
+@query(over_graph("select node_id, count(distinct cluster_id) as clusters from members where node_id in (select node_id from shared_fn) and score >= 0.4 - 1e-9 group by node_id"))
 def shared_subsystem_nodes(spark, d):
-    return cluster.shared_nodes(*_members(spark, d))
+    return cluster.shared_nodes(_members(spark, d)[1])
 
 
-@query(over_graph(", sh as (select node_id, file_id from members join nodes using (node_id) where score >= 0.4 and node_type = 'function' group by all having count(distinct cluster_id) >= 2), pr as (select a.node_id as a, b.node_id as b from sh a join sh b using (file_id) union select source, target from edges where source in (select node_id from sh) and target in (select node_id from sh) union select target, source from edges where source in (select node_id from sh) and target in (select node_id from sh)), cc(node_id, component) as (select node_id, node_id from sh union select b, component from cc join pr on a = node_id) select node_id, min(component) as component from cc group by node_id"))
-def shared_subsystems(spark, d):
+_STEM = "regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]+$', '')"
+_SUBSYSTEMS = ", sh as (select node_id, file_id from shared_fn join nodes using (node_id)), pr as (select a.node_id as a, b.node_id as b from sh a join sh b using (file_id) union select source, target from edges where source in (select node_id from sh) and target in (select node_id from sh) union select target, source from edges where source in (select node_id from sh) and target in (select node_id from sh)), cc(node_id, component) as (select node_id, node_id from sh union select b, component from cc join pr on a = node_id), sub as (select node_id, min(component) as component from cc group by node_id), sub_files as (select distinct component, file_id from sub join nodes using (node_id)), sub_all as (select component, node_id from sub union select component, file_id from sub_files union select component, node_id from sub_files join nodes using (file_id) where node_type <> 'entrypoint')"
+
+
+def _subsystems(spark, d):
     g, m = _members(spark, d)
-    return cluster.subsystems(g, cluster.shared_nodes(g, m))
+    return g, m, stored(cluster.subsystems(g, cluster.shared_nodes(m)), "subsystems")
+
+
+@query(over_graph(_SUBSYSTEMS + "select node_id, component from sub"))
+def shared_subsystems(spark, d):
+    return _subsystems(spark, d)[2]
+
+
+@query(over_graph(_SUBSYSTEMS + f", words as (select component, node_id, unnest({tokens('name')}) as term, 1 as votes from sub join nodes using (node_id) union all select component, node_id, unnest({tokens(_STEM)}), 2 from sub join nodes using (node_id)), tally as (select component, term, sum(votes) as votes from words group by all), top as (select component, arg_min(term, (-votes, -length(term), term)) as term from tally group by component), lab as (select component, upper(coalesce(term, 'shared')[1]) || coalesce(term, 'shared')[2:] || ' subsystem' as label, row_number() over (order by component) as place, (select count(*) from sub_all a where a.component = c.component) as nodes, (select count(distinct cluster_id) from sub_all a join members using (node_id) where a.component = c.component) as clusters from (select distinct component from sub) c left join top using (component)) select component, 'subsystem:' || regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || ':' || place as id, label, nodes, clusters from lab"))
+def subsystem_labels(spark, d):
+    g, m, sub = _subsystems(spark, d)
+    inside = cluster.subsystem_members(g, sub)
+    size = inside.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    users = inside.join(m.select("node_id", "cluster_id"), "node_id").groupBy("component").agg(F.countDistinct("cluster_id").alias("clusters"))
+    return cluster.subsystem_labels(g, sub).join(size, "component").join(users, "component")
 
 
-@query(over_graph("select l.node_id, case when g.node_id is null then 'isolated' else 'disconnected' end as reason from ledger l join nodes n on n.node_id = l.node_id and n.node_type = 'function' left join degrees g on g.node_id = l.node_id where class <> 'test_only' and l.node_id not in (select node_id from members)"))
+_LOOSE = _SUBSYSTEMS + ", loose as (select n.node_id, case when g.node_id is null then 'isolated' else 'disconnected' end as reason from nodes n left join degrees g using (node_id) where n.node_type = 'function' and n.node_id not in (select node_id from members) and n.node_id not in (select node_id from sub_all))"
+
+
+@query(over_graph(_LOOSE + "select node_id, reason from loose"))
 def unassigned_code(spark, d):
-    g, m = _members(spark, d)
-    return cluster.unassigned(g, m, _ledger(g))
+    return cluster.unassigned(*_subsystems(spark, d))
+
+
+@query(over_graph(_LOOSE + "select (select count(*) from entries where exposure = 'external') as external_entrypoints, (select count(distinct node_id) from members) as clustered_nodes, (select count(*) from owners where owners > 1) as overlapping_nodes, (select count(*) from loose) as unassigned_nodes"))
+def cluster_statistics(spark, d):
+    g, m, sub = _subsystems(spark, d)
+    return cluster.statistics(g, m, cluster.unassigned(g, m, sub))
 
 
 @query(over_graph("select node_id, count(distinct cluster_id) as clusters, array_to_string(list_sort(list(distinct cluster_id)), '|') as cluster_ids from members group by node_id"))
@@ -267,24 +298,76 @@ def feature_impact(spark, d):
     return cluster.impact(_members(spark, d)[1])
 
 
-@query(over_graph("select cluster_id, count(*) filter (where owners = 1) as exclusive, count(*) filter (where owners > 1) as shared from members join owners using (node_id) group by cluster_id"))
+def _capabilities(spark, d):
+    g, m = _members(spark, d)
+    entries = m.filter(F.col("node_id") == F.col("cluster_id")).select(F.col("cluster_id").alias("feature_id"), F.col("node_id").alias("entrypoint_id"))
+    keyed = featuremap.capabilities(g, entries)
+    return g, m, keyed, m.join(keyed, F.col("cluster_id") == F.col("feature_id")).select(F.col("key").alias("feature_id"), "node_id")
+
+
+@query(over_graph(", h as (select cluster_id, substr(sha256(array_to_string(list_sort(list(distinct node_id)), chr(10))), 1, 20) as h from members group by cluster_id), k as (select *, row_number() over (partition by h order by cluster_id) as k from h), c as (select cluster_id, 'feature-' || h || case when k > 1 then '-' || k else '' end as id from k), f as (select 'http:' || path || ':orders' as key, c.id, case when o.route like '%4' then 'IMPLEMENTED_UNDOCUMENTED' when o.route like '%8' then 'PARTIALLY_IMPLEMENTED' else 'IMPLEMENTED_DOCUMENTED' end as status, case when o.route like '%2' then 'HIGH' else 'LOW' end as confidence from c join entries o on o.node_id = cluster_id) select key, case when count(*) = 1 then min(id) else 'feature-' || substr(sha256(array_to_string(list_sort(list(id)), '|')), 1, 16) end as block_id, count(*) as features, case when bool_or(status = 'PARTIALLY_IMPLEMENTED') then 'PARTIALLY_IMPLEMENTED' when bool_or(status = 'IMPLEMENTED_DOCUMENTED') then 'IMPLEMENTED_DOCUMENTED' else 'IMPLEMENTED_UNDOCUMENTED' end as status, case when bool_or(confidence = 'HIGH') then 'HIGH' else 'LOW' end as confidence, 'functional' as kind from f group by key"))
+def capability_blocks(spark, d):
+    """Features of made-up statuses by the last digit of their order."""
+    g, m, keyed, _ = _capabilities(spark, d)
+    route = g.nodes.filter("node_type = 'entrypoint'").select(F.col("node_id").alias("cluster_id"), "route")
+    status = F.when(F.col("route").endswith("4"), "IMPLEMENTED_UNDOCUMENTED").when(F.col("route").endswith("8"), "PARTIALLY_IMPLEMENTED").otherwise("IMPLEMENTED_DOCUMENTED")
+    f = coverage.canonical_ids(m).join(route, "cluster_id").select(F.col("cluster_id").alias("feature_id"), F.col("feature_id").alias("canonical_id"), status.alias("status"), F.when(F.col("route").endswith("2"), "HIGH").otherwise("LOW").alias("confidence"), F.lit("functional").alias("kind"))
+    return featuremap.capability_blocks(keyed, f)
+
+
+def _map(spark, d):
+    g, _, _, found = _capabilities(spark, d)
+    return g, found, featuremap.feature_map(g, found)
+
+
+@query(over_map("select feature_id, count(*) filter (where exclusive) as exclusive, count(*) filter (where not exclusive) as shared from membership group by feature_id"))
 def exclusive_vs_shared(spark, d):
-    return featuremap.membership(_members(spark, d)[1])
+    return featuremap.exclusive_and_shared(_map(spark, d)[2])
 
 
-@query(over_graph("select file_id, count(distinct cluster_id) as owners from members join nodes using (node_id) where file_id is not null group by file_id"))
+@query(over_map("select file_id, feature_id from fo"))
 def feature_file_owners(spark, d):
-    return featuremap.file_owners(*_members(spark, d))
+    g, _, _, found = _capabilities(spark, d)
+    return featuremap.file_owners(g, found)
+
+
+@query(over_map("select file_id, feature_id from used"))
+def feature_file_consumers(spark, d):
+    g, _, _, found = _capabilities(spark, d)
+    return featuremap.consumers(g, featuremap.file_owners(g, found))
+
 
+@query(over_map("select node_id, block_id from in_shared union all select node_id, block_id from infra_nodes, plate"))
+def shared_and_baseplate_blocks(spark, d):
+    fm = _map(spark, d)[2]
+    return fm.shared.union(fm.infrastructure)
 
-@query(over_graph(", o as (select node_id, lo from owners where lo = hi) select x.lo as from_block, y.lo as to_block, type, count(*) as n from edges join o x on source = x.node_id join o y on target = y.node_id where x.lo <> y.lo group by all"))
+
+@query(over_map("select from_block, to_block, kind, confidence, label, evidence from conns"))
 def block_connections(spark, d):
-    return featuremap.connections(*_members(spark, d))
+    return _map(spark, d)[2].connections
 
 
-@query(over_graph("select cluster_id, count(*) filter (where owners = 1) as freed, count(*) filter (where owners = 2) as degraded from members join owners using (node_id) group by cluster_id"))
+@query(over_map(", shown as (select feature_id, count(*) filter (where exclusive) as freed_nodes from membership group by feature_id), picked as (select distinct feature_id, file_id from membership join shown using (feature_id) join nf using (node_id) where exclusive or freed_nodes = 0), freed as (select feature_id, count(*) as files, sum(lines)::bigint as lines from picked join files on 'file:' || path = file_id where file_id in (select file_id from fo group by file_id having count(*) = 1) group by feature_id), uses as (select distinct from_block, to_block from conns where from_block in (select feature_id from shown) and (to_block like 'shared-%' or to_block like 'infra-%')), n as (select *, count(*) over (partition by to_block) as users from uses), lost as (select from_block as feature_id, count(*) filter (where users = 1) as o, count(*) filter (where users = 2 and to_block like 'shared-%') as g from n group by all) select feature_id, freed_nodes, coalesce(files, 0) as freed_files, coalesce(lines, 0) as freed_lines, coalesce(o, 0) as orphaned_blocks, coalesce(g, 0) as degraded_blocks from shown left join freed using (feature_id) left join lost using (feature_id)"))
 def removal_impact(spark, d):
-    return featuremap.removal_impact(_members(spark, d)[1])
+    return _map(spark, d)[2].impact
+
+
+@query(over_map(", shown as (select feature_id, count(*) filter (where exclusive) as e from membership group by feature_id), s as (select distinct feature_id as block_id, 'feature' as kind, file_id from membership join shown using (feature_id) join nf using (node_id) where exclusive or e = 0 union select block_id, 'shared_subsystem', file_id from in_shared join nf using (node_id) union select block_id, 'infrastructure', file_id from infra_files, plate) select block_id, kind, count(*) as files, sum(lines)::bigint as lines from s join files on 'file:' || path = file_id group by all"))
+def block_sizes(spark, d):
+    return _map(spark, d)[2].sizes
+
+
+@query("select ''::varchar as rule, ''::varchar as location where false")
+def map_violations(spark, d):
+    """Rules of a feature map over the one that is built: it must break none."""
+    return featuremap.map_violations(_map(spark, d)[2])
+
+
+@query(over_graph("select cluster_id as feature_id, m.node_id, 'http' as kind, 'GET ' || route as label from members m join entries e on e.node_id = m.node_id"))
+def feature_ports(spark, d):
+    g, m = _members(spark, d)
+    return featuremap.ports(g, m.select(F.col("cluster_id").alias("feature_id"), "node_id"))
 
 
 @query(over_graph(", h as (select cluster_id, substr(sha256(array_to_string(list_sort(list(distinct node_id)), chr(10))), 1, 20) as h from members group by cluster_id), k as (select *, row_number() over (partition by h order by cluster_id) as k from h) select cluster_id, 'feature-' || h || case when k > 1 then '-' || k else '' end as feature_id from k"))
@@ -328,39 +411,65 @@ def cross_component_weights(spark, d):
 # ---- dead code, coverage, score ---------------------------------------------
 
 
-@query(over_graph(", c as (select l.file_id, name, l.node_id, class, list_position(['disconnected_candidate','public_api_unproven','dynamic_unknown','test_only'], class) as o from ledger l join nodes n on n.node_id = l.node_id and n.node_type = 'function' and exported where class in ('disconnected_candidate','public_api_unproven','dynamic_unknown','test_only')) select file_id, name, arg_min(node_id, (o, node_id)) as node_id, case arg_min(class, (o, node_id)) when 'disconnected_candidate' then 'candidate' when 'public_api_unproven' then 'public_api' when 'dynamic_unknown' then 'uncertain' else 'test_only' end as verdict from c group by file_id, name"))
+_DEAD = ", c as (select l.file_id, name, l.node_id, class, case class when 'disconnected_candidate' then 0 when 'public_api_unproven' then 1 else 2 end as o from ledger l join nodes n on n.node_id = l.node_id and n.node_type = 'function' and exported where path not like 'tests/%' and class in ('disconnected_candidate', 'public_api_unproven', 'dynamic_unknown', 'test_only')), dead as (select file_id, name, arg_min(node_id, (o, node_id)) as node_id, array_to_string(list_sort(list(node_id)), '|') as node_ids, arg_min(class, (o, node_id)) as status, case when arg_min(class, (o, node_id)) in ('disconnected_candidate', 'test_only') then 'VALIDATION_REQUIRED' else 'UNKNOWN_DYNAMIC_USAGE' end as verdict from c group by file_id, name)"
+
+
+@query(over_graph(_DEAD + "select * from dead"))
 def dead_code_candidates(spark, d):
     g = _graph(spark, d)
     return deadcode.candidates(g, _ledger(g))
 
 
-_CLASSES = ", me as (select node_id from nodes n left join degrees using (node_id) where node_type = 'function' and (exported or node_id in (select handler from entries) or coalesce(degree, 0) >= 3)), cl as (select me.node_id, case when me.node_id in (select node_id from members) then 'explained' when class = 'test_only' then 'test' when class = 'startup_reachable' then 'infrastructure' when class = 'disconnected_candidate' then 'dead_code' else 'unknown' end as class from me left join ledger using (node_id))"
+@query(over_graph(_DEAD + "select file_id, 'orphan-' || substr(sha256(substr(file_id, 6)), 1, 16) as block_id, case when bool_or(verdict = 'VALIDATION_REQUIRED') then 'VALIDATION_REQUIRED' else 'UNKNOWN_DYNAMIC_USAGE' end as verdict, case when bool_or(verdict = 'VALIDATION_REQUIRED') then 'MEDIUM' else 'LOW' end as confidence, count(distinct node_id) as nodes, count(*) as lines from dead group by file_id"))
+def orphan_blocks(spark, d):
+    g = _graph(spark, d)
+    return featuremap.orphans(g, deadcode.candidates(g, _ledger(g)))
+
+
+_CLASSES = ", deg as (select node_id, count(*) as degree from (select source as node_id from edges union all select target from edges) group by node_id), me as (select n.node_id, node_type, path, exposure from nodes n left join deg using (node_id) where node_type = 'endpoint' or (node_type = 'entrypoint' and exposure = 'startup') or (node_type = 'function' and (exported or node_id in (select handler from entries) or coalesce(degree, 0) >= 3))), cov as (select node_id from entries where exposure = 'external' and route like '%4' union select handler from entries where exposure = 'external' and route like '%4'), cl as (select me.node_id, node_type, path, case when path like 'tests/%' then 'test' when node_type = 'entrypoint' then 'infrastructure' when node_type = 'endpoint' or status = 'externally_reachable' then 'feature' when status = 'internally_reachable' then 'infrastructure' else 'utility' end as class, status as reachability, me.node_id in (select node_id from cov) or (node_type = 'endpoint' and substr(me.node_id, 10) in (select node_id from cov)) or (node_type = 'entrypoint' and (select handler from entries e where e.node_id = me.node_id) in (select node_id from cov)) as explained from me join statuses using (node_id)), told as (select distinct path from nodes where node_type = 'function' and node_id not in (select node_id from cl where not explained)), casc as (select node_id, class, reachability, explained, case when explained then 'explained' when class = 'test' or (class in ('infrastructure', 'utility') and reachability <> 'unknown') then 'support' when reachability = 'test_only' then 'test' when class = 'feature' and reachability = 'externally_reachable' and node_type <> 'entrypoint' and path in (select path from told) then 'same_file' else 'none' end as pass from cl)"
 
 
 def _classified(spark, d):
-    g, m = _members(spark, d)
-    return coverage.classify(coverage.meaningful(g), m, _ledger(g))
+    """A contract of the entrypoints whose orders end in 4, with their handlers."""
+    g = _graph(spark, d)
+    named = g.nodes.filter("node_type = 'entrypoint' and exposure = 'external' and route like '%4'")
+    items = named.select(F.lit("c").alias("contract_id"), F.explode(F.array("node_id", "handler_symbol_id")).alias("node_id"))
+    found = coverage.classify(g, coverage.meaningful(g), coverage.contract_coverage(g, items), reach.statuses(g, reach.levels(g)))
+    return coverage.cascade(g, found)
 
 
-@query(over_graph(_CLASSES + " select node_id, class from cl"))
+@query(over_graph(_CLASSES + " select node_id, case when pass = 'test' then 'test' else class end as class, reachability, explained, pass, pass <> 'none' as accounted from casc"))
 def coverage_classification(spark, d):
     return _classified(spark, d)
 
 
-@query(over_graph(_CLASSES + " select count(*) as nodes, count(*) filter (where class <> 'unknown') as accounted, count(*) filter (where class = 'explained') as explained, floor(count(*) filter (where class <> 'unknown') * 10000.0::double / count(*) + 0.5) / 100 as percent from cl"))
+@query(over_graph(_CLASSES + " select count(*) as nodes, count(*) filter (where pass <> 'none') as accounted, count(*) filter (where explained) as explained, count(*) filter (where pass = 'none' and reachability = 'unknown') as suspicious, floor(count(*) filter (where pass <> 'none') * 10000.0::double / count(*) + 0.5) / 100 as percent from casc"))
 def coverage_summary(spark, d):
     return coverage.summary(_classified(spark, d))
 
 
-_PARTS = ", p as (select c_nationkey as contract, avg(case when c_acctbal > 0 then 1.0::double else 0.0::double end) as cov, avg(case when c_mktsegment = 'BUILDING' then 0.0::double else 1.0::double end) as ver, count(*) as n from customer group by c_nationkey)"
+_PARTS = "with p as (select c_nationkey as contract, avg(case when c_acctbal > 0 then 1.0::double else 0.0::double end) as coverage, avg(case when c_mktsegment = 'BUILDING' then 0.0::double else 1.0::double end) as verified, count(*) filter (where c_acctbal < -900) as contradicted, count(*) filter (where c_acctbal > 9000) as uncertain, count(*) filter (where c_acctbal between -800 and -600) as unconfirmed, count(*) filter (where c_acctbal between 0 and 400) as partial, c_nationkey % 2 = 0 as converged from customer group by c_nationkey)"
 
 
-@query("with recursive x as (select 1)" + _PARTS + ", s as (select contract, floor(greatest(0, least(100, 100 * (0.4 * cov + 0.3 * ver + 0.15 * 0.9::double + 0.15 * cov) - least(n % 40, 30) - case when contract % 2 = 0 then 0 else 5 end)) * 10 + 0.5) / 10 as points from p) select contract, points, case when points >= 90 then 'A' when points >= 80 then 'B' when points >= 70 then 'C' when points >= 60 then 'D' else 'F' end as grade from s")
+def _contracts(spark, d):
+    """Nations as contracts, with counts of their customers by balance as claims."""
+    b = F.col("c_acctbal")
+    return _read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("contract")).agg(
+        F.avg((b > 0).cast("double")).alias("coverage"), F.avg((F.col("c_mktsegment") != "BUILDING").cast("double")).alias("verified"), F.count_if(b < -900).alias("contradicted"),
+        F.count_if(b > 9000).alias("uncertain"), F.count_if(b.between(-800, -600)).alias("unconfirmed"), F.count_if(b.between(0, 400)).alias("partial"), F.max(F.col("c_nationkey") % 2 == 0).alias("converged"),
+    )
+
+
+@query(_PARTS + ", s as (select contract, greatest(0.0::double, least(100.0::double, floor((100 * (0.4::double * coverage + 0.3::double * verified + 0.15::double * (1 - least(uncertain * 2.0::double, 15.0::double) / 100) + 0.15::double * greatest(0.0::double, 1 - (least(contradicted * 4.0::double, 20.0::double) + least(unconfirmed * 2.0::double, 10.0::double)) / 100)) - case when converged then 0.0::double else 5.0::double end) * 10 + 0.5) / 10)) as points from p) select contract, points, case when points >= 90 then 'A' when points >= 80 then 'B' when points >= 70 then 'C' when points >= 60 then 'D' else 'F' end as grade from s")
 def contract_score(spark, d):
     """The score's arithmetic over nations as contracts."""
-    p = _read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("contract")).agg(F.avg((F.col("c_acctbal") > 0).cast("double")).alias("cov"), F.avg((F.col("c_mktsegment") != "BUILDING").cast("double")).alias("ver"), F.count(F.lit(1)).alias("n"))
-    points = coverage.score(F.col("cov"), F.col("ver"), F.lit(0.9), F.col("cov"), (F.col("n") % 40).cast("double"), F.col("contract") % 2 == 0)
-    return p.withColumn("points", points).select("contract", "points", coverage.grade(F.col("points")).alias("grade"))
+    points = coverage.score(*(F.col(c) for c in ("coverage", "verified", "contradicted", "uncertain", "unconfirmed", "converged")))
+    return _contracts(spark, d).withColumn("points", points).select("contract", "points", coverage.grade(F.col("points")).alias("grade"))
+
+
+@query(_PARTS + ", x as (select contract, 'unexplained_coverage' as code, case when 40 * (1 - coverage) > 0.5 then floor(40 * (1 - coverage) * 10 + 0.5) / 10 end as points from p union all select contract, 'partially_verified_claim', case when partial > 0 then floor(least(partial * 1.5::double, 10.0::double) * 10 + 0.5) / 10 end from p union all select contract, 'contradicted_claim', case when contradicted > 0 then least(contradicted * 4.0::double, 20.0::double) end from p union all select contract, 'unresolved_uncertainty', case when uncertain > 0 then least(uncertain * 2.0::double, 15.0::double) end from p union all select contract, 'unconfirmed_review', case when unconfirmed > 0 then least(unconfirmed * 2.0::double, 10.0::double) end from p union all select contract, 'correction_not_converged', case when not converged then 5.0::double end from p) select * from x where points is not null")
+def contract_deductions(spark, d):
+    return coverage.deductions(_contracts(spark, d), "contract")
 
 
 @query("select event_type as label, count(value) as n, floor(min(value) * 1e6 + 0.5) / 1e6 as low, floor(max(value) * 1e6 + 0.5) / 1e6 as high, floor(avg(value) * 1e6 + 0.5) / 1e6 as mean, floor(stddev_pop(value) * 1e6 + 0.5) / 1e6 as deviation, floor((max(value) - min(value)) * 1e6 + 0.5) / 1e6 as spread from events group by event_type")
@@ -388,16 +497,27 @@ def doc_mapping_idf(spark, d):
     return cluster.match_documents(claims, targets)
 
 
-@query(r"select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1), '[?#].*$', ''), '[0-9]+', '{x}', 'g'), '\{[^}/]*\}', '{}', 'g'), '[.,;:!]+$', ''), '(.)/+$', '\1') as route from pages")
+@query(r"with r as (select page_id, url, regexp_replace(url, '[0-9]+', '{x}', 'g') || '//' as r from pages), q as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(r, '(?s)[?#].*$', ''), '[),.;:!?]+$', ''), '\{[^/{}]+\}', '{}', 'g'), '/{2,}', '/', 'g') as r from r) select page_id, url, lower(case when length(r) > 1 then regexp_replace(r, '/+$', '') else r end) as route from q")
 def route_normalize(spark, d):
-    p = _read(spark, d, "pages")
-    route = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1), r"[?#].*$", ""), "[0-9]+", "{x}")
-    return p.select("page_id", "url", tx.normal_route(route).alias("route"))
+    """Addresses with numbers as parameters and two slashes at the end."""
+    route = F.concat(F.regexp_replace("url", "[0-9]+", "{x}"), F.lit("//"))
+    return _read(spark, d, "pages").select("page_id", "url", tx.normal_route(route).alias("route"))
+
+
+_MARKDOWN = "text"
+for _pattern, _put, _flags in (
+    (r"!\[([^\]]*)\]\([^)]*\)", r"\1", "g"), (r"\[([^\]]+)\]\([^)]*\)", r"\1", "g"), (r"<https?://[^>]+>", "", "gi"), ("<[^>]+>", " ", "g"), (r"^(\s*>\s*)+", "", ""), (r"^([-*+]\s+|[0-9]+[.)]\s+)", "", ""),
+    (r"^(\|--|->|=>|├──|└──|│\s*(├──|└──))\s*", "", ""), ("`([^`]*)`", r"\1", "g"), ("[*_~]+", "", "g"), (r"\\([\\`*_\[\]{}()#+.!|>-])", r"\1", "g"), ("&(amp|#38);", "&", "gi"), ("&(lt|#60);", "<", "gi"),
+    ("&(gt|#62);", ">", "gi"), ("&(quot|#34);", '"', "gi"), (r"\bTanStack\s+Query\b", "React Query (TanStack Query)", "gi"), (r"\s+", " ", "g"),
+):
+    _MARKDOWN = f"regexp_replace({_MARKDOWN}, '{_pattern}', '{_put}', '{_flags}')"
 
 
-@query(r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'), '^\s{0,3}(#{1,6}|[-*+]|\d+[.)]|>)\s+', '', 'g'), '[`*_~]+', '', 'g'), '\s+', ' ', 'g')) as text from pages")
+@query(f"select doc_id, sha256(trim({_MARKDOWN})) as stripped from documents union all select -page_id, sha256(trim({_MARKDOWN.replace('text', 'html', 1)})) from pages")
 def markdown_strip(spark, d):
-    return _read(spark, d, "pages").select("page_id", tx.strip_markdown(F.col("html")).alias("text"))
+    """Digests of the plain text of all documents and pages."""
+    rows = _read(spark, d, "documents").select("doc_id", "text").union(_read(spark, d, "pages").select(-F.col("page_id"), "html"))
+    return rows.select("doc_id", F.sha2(tx.strip_markdown(F.col("text")), 256).alias("stripped"))
 
 
 @query(r"select page_id, (unnest(range(1, len(s) + 1)) - 1)::int as pos, unnest(s) as script from (select page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) as s from pages)")
@@ -421,9 +541,9 @@ def word_boundary_unused(spark, d):
     return deadcode.unused_names(files, names).select("path", "name", F.col("line_start").cast("int").alias("line_start"))
 
 
-@query("with f as (select c_custkey as id, c_nationkey as k, c_mktsegment as v from customer) select k, v, min(id) as id from f group by k, v having count(distinct id) = 1 order by 1, 2")
+@query("with f as (select c_custkey as id, c_nationkey as k, floor(c_acctbal / 500)::int as v from customer) select k, v, min(id) as id from f group by k, v having count(distinct id) = 1")
 def unique_or_nothing(spark, d):
-    c = _read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_custkey").alias("id"))
+    c = _read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.floor(F.col("c_acctbal") / 500).cast("int").alias("v"), F.col("c_custkey").alias("id"))
     return exactly_one(c, ["k", "v"], "id")
 
 
@@ -435,11 +555,17 @@ def tiered_resolution(spark, d):
     return first_tier(c, ["k"], "tier", "v")
 
 
-@query("select path, (lower(path) similar to '(.*/)?(test|tests|__tests__|spec|specs|__snapshots__)/.*') as test from (select 'src/nation/' || n_nationkey || '.ts' as path from nation union all select 'tests/brand_' || n_nationkey || '.py' from nation)")
+_TEST_PATHS = (
+    "src/nation/{}.ts", "tests/brand_{}.py", "a\\Spec\\{}.ts", "x/{}.test.tsx", "x/{}.spec.js", "test_{}.py", "{}_test.py", "test_{}.ts", "a_test_{}.js", "conftest.py", "conftest.json", "p/{}_test.go", "test_{}.rb", "{}_spec.rb",
+    "q/{}Test.java", "q/{}Tests.kt", "q/{}TestCase.php", "q/{}test.java", "{}_test.rs", "z/{}.bats", "contest{}/latest.ts", "__snapshots__/{}", "tests", "src/specs/{}.md",
+)
+
+
+@query("with p as (select replace(unnest([" + ", ".join(f"'{x}'" for x in _TEST_PATHS) + r"]), '{}', 'n' || n_nationkey) as path from nation), q as (select path, list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x <> '') as s from p) select path, len(list_filter(s[:-2], lambda x: lower(x) in ('test', 'tests', '__tests__', 'spec', 'specs', '__snapshots__'))) > 0 or regexp_matches(lower(s[-1]), '[.](test|spec)[.][^.]+$|^(test_.+|.+_test)[.]py$|^conftest[.]py$|_test[.]go$|^(test_.+|.+_spec)[.]rb$|_test[.]rs$|[.]bats$') or regexp_matches(s[-1], '(Test|Tests|TestCase)[.](java|kt|kts|cs|php)$') as test from q")
 def test_path_predicate(spark, d):
-    n = _read(spark, d, "nation")
-    p = n.select(F.concat(F.lit("src/nation/"), F.col("n_nationkey").cast("string"), F.lit(".ts")).alias("path")).union(n.select(F.concat(F.lit("tests/brand_"), F.col("n_nationkey").cast("string"), F.lit(".py"))))
-    return p.select("path", tx.is_test_path(F.col("path")).alias("test"))
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    paths = _read(spark, d, "nation").select(F.explode(F.array(*(F.replace(F.lit(p), F.lit("{}"), name) for p in _TEST_PATHS))).alias("path"))
+    return paths.select("path", tx.is_test_path(F.col("path")).alias("test"))
 
 
 # ---- frontends, resolvers and the audit -------------------------------------

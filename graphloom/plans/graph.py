@@ -58,9 +58,9 @@ def commerce_graph(spark: SparkSession, sf_dir: str) -> EvidenceGraph:
     brand_path = F.when(brand % 5 == 0, F.concat(F.lit("tests/brand_"), brand.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("src/brand/"), brand.cast("string"), F.lit(".py")))
     named = lambda kind, key: F.concat(F.lit(f"function:{kind}:"), key.cast("string"))
 
-    paths = read("nation").select(nation_path(c("n_nationkey")).alias("path")).unionByName(read("part").select(brand_path.alias("path")).distinct())
+    paths = read("nation").select(nation_path(c("n_nationkey")).alias("path"), (c("n_nationkey") + 100).alias("lines")).unionByName(read("part").select(brand_path.alias("path"), (brand + 200).alias("lines")).distinct())
     files = node_rows(
-        paths, node_id=F.concat(F.lit("file:"), c("path")), node_type=F.lit("file"), name=c("path"), path=c("path"),
+        paths, node_id=F.concat(F.lit("file:"), c("path")), node_type=F.lit("file"), name=c("path"), path=c("path"), line_start=F.lit(1), line_end=c("lines"),
         language=F.when(c("path").endswith(".ts"), "typescript").otherwise("python"),
     )
     symbols = (

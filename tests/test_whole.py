@@ -1,4 +1,4 @@
-"""Registered queries return all rows: compared with their SQL without its subset filters."""
+"""Registered queries return all rows: compared with their SQL."""
 
 import duckdb
 
@@ -8,10 +8,8 @@ from graphloom.plans import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-def oracle(name, *dropped):
+def oracle(name):
     sql = catalogue.oracle_sql()[name]
-    for text in dropped:
-        sql = sql.replace(text, "")
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
@@ -24,17 +22,17 @@ def rows(spark, name):
 
 def test_definitions_of_all_names(spark):
     got = rows(spark, "find_definition")
-    assert got == oracle("find_definition", " where p_partkey % 40 = 0", " where c_custkey % 50 = 0")
+    assert got == oracle("find_definition")
     names = {r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()} | {r.c_name.upper() for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_name").collect()}
     assert {r[0] for r in got} == names
 
 
 def test_neighbours_and_distances_of_all_nodes(spark):
     got = rows(spark, "get_neighbors")
-    assert got == oracle("get_neighbors", " where node_id like 'function:supplier:%'")
+    assert got == oracle("get_neighbors")
     assert {r[0].split(":")[0] for r in got} == {"file", "function", "endpoint"}
     got = rows(spark, "paths_to_external_behavior")
-    assert got == oracle("paths_to_external_behavior", " where node_id like 'function:part:%'")
+    assert got == oracle("paths_to_external_behavior")
     assert any(r[0].startswith("endpoint:") for r in got) and any(r[0].startswith("function:supplier:") for r in got)
 
 

@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.grow_forest(secrets.labelled_findings(spark))
-    return secrets.scan(_read(spark, sf_dir, "documents"), forest)
+    return secrets.scan(_read(spark, sf_dir, "documents"), forest, path=F.coalesce("source", F.lit("")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

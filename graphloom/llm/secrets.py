@@ -182,9 +182,9 @@ def scan(docs: DataFrame, forest: list[dict], threshold: float = 0.5, path: Colu
 
     Returns (doc_id, ordinal, value_sha256, length, before, score, is_secret): the
     value itself is given as a digest only. ``path`` names the text's place where
-    there is one. Null and empty texts have no candidates; repeated rows repeat
-    their findings; an empty table gives no rows. ``ordinal`` rises with a finding's
-    place in the text.
+    there is one. Null and empty texts have no candidates; a text of any length is read
+    whole; repeated rows repeat their findings; an empty table gives no rows. ``ordinal``
+    rises with a finding's place in the text and is its own within a row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", (path if path is not None else F.lit("")).alias("path"), text.alias("text"))
@@ -207,7 +207,8 @@ def scan(docs: DataFrame, forest: list[dict], threshold: float = 0.5, path: Colu
     given_name = F.when(F.col("m.given") == "", name).otherwise(F.lit(""))
     clean = lambda ws: F.transform(ws, lambda w: F.regexp_replace(w, f"[{_BREAKS}]+$|(?<=[A-Za-z_.-])=+[{_BREAKS}]*$", ""))
     found = found.select("doc_id", "path", F.col("m.i").alias("i"), clean(F.col("m.before")).alias("b"), given_name.alias("n"), F.array_join(clean(F.col("m.after")), " ").alias("after"), F.posexplode(values).alias("j", "v"))
-    # a text's words come in order from one row, so a place is (word, run) in one number
-    found = found.select("doc_id", "path", (F.col("i").cast("long") * 1000 + F.col("j")).alias("ordinal"), F.concat_ws(" ", F.array_join("b", " "), "n", "v.name").alias("before"), F.col("v.value").alias("value"), "after")
+    # a text's words come in order from one row, so a place is (word, run) in one number: a
+    # word of a text has under 2**27 runs of 16 characters, and a text under 2**31 words
+    found = found.select("doc_id", "path", (F.shiftleft(F.col("i").cast("long"), 27) + F.col("j")).alias("ordinal"), F.concat_ws(" ", F.array_join("b", " "), "n", "v.name").alias("before"), F.col("v.value").alias("value"), "after")
     scored = with_features(found).withColumn("score", forest_score(forest))
     return scored.select("doc_id", "ordinal", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), F.trim("before").alias("before"), "score", (F.col("score") >= threshold).alias("is_secret"))

@@ -23,9 +23,11 @@ _NEXT = itertools.count()
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``). Only where
-    the session names none (tests in one process), a folder of this machine."""
+    the session names none and runs on this machine alone (tests), a folder of it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
     return f"{root.rstrip('/')}/graphloom-{_RUN}"
 

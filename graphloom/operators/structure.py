@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import group_key, slashed
 from ..functions.storage import stored
 from ..functions.text import directory
 from ..plans.graph import EvidenceGraph
@@ -63,3 +64,27 @@ def test_and_config_edges(edges: DataFrame, files: DataFrame, tests: DataFrame,
     tested = refs.join(tests.select(F.col("node_id").alias("test_id"), "path"), "path").select(F.col("target").alias("source"), F.col("test_id").alias("target"), F.lit("TESTED_BY").alias("type"), *evidence)
     configured = refs.join(configs.select(F.col("node_id").alias("config_id"), F.col("symbol_id").alias("target")), "target").select("source", F.col("config_id").alias("target"), F.lit("CONFIGURED_BY").alias("type"), *evidence)
     return tested.unionByName(configured)
+
+
+def attach_isolated(members: DataFrame, isolated: DataFrame) -> DataFrame:
+    """(path, community) of ``isolated`` files (path): the community of ``members``
+    (path, community) whose most frequent two-segment folder lies deepest above the
+    file, ties to the least community; else a new one, ``directory:`` and the file's own
+    two segments. Each file meets its own folders by equality, so nothing is compared
+    with all communities. Repeated files count once; without members all are new."""
+    counts = members.distinct().groupBy("community", group_key(F.col("path")).alias("home")).agg(F.count(F.lit(1)).alias("n"))
+    home = counts.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "home")).alias("b")).select("community", "b.home")
+    home = home.groupBy("home").agg(F.min("community").alias("community"))
+    parts = F.split(slashed(F.col("path")), "/")
+    above = F.array_compact(F.array(*(F.when(F.size(parts) > k, F.struct(F.lit(k).alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("home"))) for k in (1, 2))))
+    tries = isolated.select("path").distinct().select("path", F.explode_outer(above).alias("a")).select("path", "a.depth", "a.home")
+    found = tries.join(home, "home", "left").groupBy("path").agg(F.max(F.when(F.col("community").isNotNull(), F.struct("depth", "community"))).alias("b"))
+    return found.select("path", F.coalesce("b.community", F.concat(F.lit("directory:"), group_key(F.col("path")))).alias("community"))
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once for its ends, type and evidence, by source, target, type, file and
+    line; an edge without a line comes as from line 0."""
+    key = ["source", "target", "type", "ev_file", "ev_line", "ev_extractor"]
+    once = edges.dropDuplicates(key)
+    return once.orderBy("source", "target", "type", "ev_file", F.coalesce("ev_line", F.lit(0)))

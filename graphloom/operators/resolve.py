@@ -109,3 +109,37 @@ def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
     o = outer.select("file_id", F.col("node_id").alias("outer_id"), F.col("line_start").alias("os"), F.col("line_end").alias("oe"))
     rows = i.join(o, "file_id").filter("os <= s and oe >= e and (os < s or oe > e)")
     return rows.select("file_id", "inner_id", "outer_id")
+
+
+def module_stem(path: Column) -> Column:
+    """A module's name: the last segment up to its first dot, or for an index the folder's."""
+    parts = F.split(F.regexp_replace(F.translate(path, "\\", "/"), "/+$", ""), "/")
+    base = F.regexp_replace(F.element_at(parts, -1), r"^([^.]+)\..*$", "$1")
+    return F.when(base.isin("index", "__init__") & (F.size(parts) > 1), F.get(parts, F.size(parts) - 2)).otherwise(base)
+
+
+def partial_imports(sources: DataFrame, diagnostics: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target, kind, line): what ``sources`` (path, text) with ``diagnostics`` (path,
+    line_start, line_end) may import of ``files`` (path), at its least line.
+    ``recovered-import``: ``imports`` (path, source, line_start, line_end) that touch no
+    diagnostic. ``string-mention``: strings without white space, and Python import lines,
+    that resolve to a file or have a file's stem. Files without diagnostics give nothing."""
+    broken = diagnostics.select("path").distinct()
+    d = diagnostics.select(F.col("path").alias("p"), F.col("line_start").alias("low"), F.col("line_end").alias("high"))
+    sound = imports.join(broken, "path", "left_semi").join(d, (F.col("path") == F.col("p")) & (F.col("low") <= F.col("line_end")) & (F.col("line_start") <= F.col("high")), "left_anti")
+    rows = sources.join(broken, "path", "left_semi").select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "row"))
+    strings = F.filter(F.regexp_extract_all("row", F.lit(r"""(["'`])((?:(?!\1)[^\\\r\n]|\\.){1,300})\1"""), F.lit(2)), lambda s: (F.length(s) <= 300) & ~s.rlike(r"\s"))
+    module = F.regexp_extract("row", r"^\s*(?:from\s+(?:\.*([A-Za-z_][\w.]*)|\.+)\s+import\b|import\s+([A-Za-z_][\w.]*))", 0)
+    module = F.translate(F.regexp_replace(F.regexp_extract(module, r"^\s*(?:from|import)\s+(\S+)", 1), r"^\.+", ""), ".", "/")
+    said = rows.select("path", (F.col("at") + 1).alias("line"), F.explode(F.when(module != "", F.array_append(strings, module)).otherwise(strings)).alias("source"))
+    asked = sound.select("path", "source").union(said.select("path", "source")).distinct()
+    found = script_targets(asked, files).unionByName(python_targets(asked, files))
+    stems = files.select(F.col("path").alias("target"), module_stem(F.col("path")).alias("stem")).distinct().filter("stem != ''")
+    near = said.withColumn("stem", module_stem(F.col("source"))).join(stems, "stem")
+    kinds = [
+        sound.join(found, ["path", "source"]).select("path", "target", F.lit("recovered-import").alias("kind"), F.col("line_start").alias("line")),
+        said.join(found, ["path", "source"]).select("path", "target", F.lit("string-mention"), "line"),
+        near.select("path", "target", F.lit("string-mention"), "line"),
+    ]
+    both = kinds[0].union(kinds[1]).union(kinds[2]).filter("path != target")
+    return both.groupBy("path", "target", "kind").agg(F.min("line").alias("line"))

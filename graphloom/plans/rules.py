@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import deadcode, reality, review, structure
+from ..operators import deadcode, excerpts, reality, resolve, review, structure
+from ..sources import manifests
 from .catalogue import _graph, _ledger, _read, query
 from .oracle import over_graph
 
@@ -187,3 +188,47 @@ def stale_files(spark, d):
 def coverage_map(spark, d):
     refs = _read(spark, d, "lineitem").select(_text("f%s", "l_suppkey").alias("feature_id"), c("l_partkey").alias("id"))
     return review.coverage_map(_read(spark, d, "part").select(c("p_partkey").alias("id")), refs).select("id", F.array_join("feature_ids", " ").alias("feature_ids"))
+
+
+# ---- sources and excerpts ---------------------------------------------------
+
+
+@query("with p as (select 'd' || p_partkey || '/README.md' as path, p_partkey % 4 as k, p_name as n from part) select path, 3 as line, 'Key Features' as heading, n || ' list' as text, true as list_item from p union all select path, 5, 'Key Features', 'plain words It supports ' || n, false from p union all select path, 8, 'Key Features', 'Must ' || n, true from p where k = 0 union all select path, 11, 'Key Features', 'We will ship', false from p where k in (0, 1)")
+def promise_excerpts(spark, d):
+    """A page for each part: items, a paragraph, a fence whose language its key chooses, prose."""
+    fence = F.element_at(F.array(*map(F.lit, ("", "js", "mermaid", "py"))), (c("p_partkey") % 4 + 1).cast("int"))
+    last = F.when(c("p_partkey") % 4 < 2, "We will ship").otherwise("We shipped")
+    text = F.concat(
+        F.lit("Hello\n## Key *Features* \n- **"), "p_name", F.lit("**\n  list\nplain words\nIt supports `"), "p_name", F.lit("`\n"),
+        F.lit("```"), fence, F.lit("\n* Must "), "p_name", F.lit("\n\n~~~\n"), last,
+    )
+    return excerpts.promise_excerpts(_read(spark, d, "part").select(_text("d%s/README.md", "p_partkey").alias("path"), text.alias("text")))
+
+
+@query("with p as (select p_partkey as k, 'a' || p_partkey as dir from part) select dir || '/tsconfig.json' as path, dir as directory, case when k % 2 = 0 then 'src' else '.' end as base_url, '@a/*' as pattern, u.s as substitution, u.pos::int as pos from p cross join (values ('x//y/*', 0), ('z/*', 1)) u(s, pos) where k % 3 <> 2 union all select dir || '/tsconfig.json', dir, 'src', null, null, null from p where k % 3 = 2 and k % 2 = 0")
+def module_aliases(spark, d):
+    """A configuration for each part: with a base, with paths, with both or neither."""
+    base = F.when(c("p_partkey") % 2 == 0, '"baseUrl": "src", // base\n').otherwise("")
+    listed = F.when(c("p_partkey") % 3 != 2, '"paths": {"@a/*": ["x//y/*", "", "z/*",], /* no, */ "@b": [""],},').otherwise('"strict": true,')
+    text = F.concat(F.lit('{ /* "a": 1 */ "compilerOptions": {'), base, listed, F.lit("},\n}"))
+    return manifests.module_aliases(_read(spark, d, "part").select(_text("a%s/tsconfig.json", "p_partkey").alias("path"), text.alias("text")))
+
+
+@query("with p as (select p_partkey as k, 'a' || p_partkey as dir from part) select dir || '/run.js' as path, 'npm script ' || dir || ':start' as name from p where k % 3 = 0 union all select 'lib/b.js', 'npm script ' || dir || ':start' from p where k % 4 = 0")
+def script_entrypoints(spark, d):
+    first = F.when(c("p_partkey") % 3 == 0, "cross-env A=1 B=2 node './run.js' --x").when(c("p_partkey") % 3 == 1, "node -e 1; node ../../out.js").otherwise("echo 'a; node ./run.js'")
+    second = F.when(c("p_partkey") % 4 == 0, " && NODE.exe ..\\\\lib/b.js | node gone.js").otherwise(" || node lib/*.js")
+    p = _read(spark, d, "part").select(_text("a%s", "p_partkey").alias("dir"), F.concat(F.lit('{"scripts": {"start": "'), first, second, F.lit('"}}')).alias("text"))
+    files = p.select(F.concat("dir", F.lit("/run.js")).alias("path")).union(spark.range(1).select(F.lit("lib/b.js")))
+    return manifests.script_entrypoints(p.select(F.concat("dir", F.lit("/package.json")).alias("path"), "text"), files)
+
+
+@query("with p as (select p_partkey as k, p_size, 'src/p' || p_partkey || '.ts' as path from part), m as (select a.path, b.path as target, 'recovered-import' as kind, 1 as line from p a join p b on b.k = a.k + 1 where a.k % 5 = 0 and a.k % 10 <> 0 union all select a.path, b.path, 'string-mention', 1 from p a join p b on b.k = a.k + 1 where a.k % 5 = 0 union all select a.path, b.path, 'string-mention', 2 from p a join p b on b.k = a.p_size where a.k % 5 = 0 and a.k <> b.k) select path, target, kind, min(line)::int as line from m group by all")
+def partial_imports(spark, d):
+    """Every fifth part's file has a diagnostic, every tenth on the line of its import."""
+    p = _read(spark, d, "part").withColumn("path", _text("src/p%s.ts", "p_partkey"))
+    text = _text("import x from \"./p%s\"\nconst a = 'p%s.js', b = 'p 1';", "p_partkey + 1", "p_size")
+    line = F.when(c("p_partkey") % 10 == 0, 1).otherwise(9)
+    found = p.filter("p_partkey % 5 = 0").select("path", line.alias("line_start"), line.alias("line_end"))
+    imports = p.select("path", _text("./p%s", "p_partkey + 1").alias("source"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    return resolve.partial_imports(p.select("path", text.alias("text")), found, imports, p.select("path")).select("path", "target", "kind", c("line").cast("int").alias("line"))

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import deadcode, reality, review, structure
+from graphloom.operators import deadcode, excerpts, reality, resolve, review, structure
 from graphloom.plans.graph import NODE_COLUMNS, EvidenceGraph
+from graphloom.sources import manifests
 
 EDGE = "source string, target string, type string, ev_file string, ev_line int, ev_extractor string"
 FILE = "path string, language string, text string"
@@ -129,3 +130,56 @@ def test_stale_files_and_coverage(spark):
     ids = spark.createDataFrame([("x",), ("x",), ("y",)], "id string")
     refs = spark.createDataFrame([("f2", "x"), ("f1", "x"), ("f1", "x"), ("f1", "z")], "feature_id string, id string")
     assert rows(review.coverage_map(ids, refs)) == [("x", ["f1", "f2"]), ("y", [])]
+
+
+def test_promise_excerpts(spark):
+    text = "\n".join(
+        [
+            "# Guide",
+            "It should work", "on two lines", "|---|---|", "Added GET /x",
+            "added /y here", "- one must", "  goes on", "- two", "    added /z",
+            "not indented will", "sequenceDiagram must", "```js", "must not be read", "# nor this", "```", "~~~ md", "it must be", "## Features", "* three",
+            "~~~", "* four", "#no heading must",
+        ]
+    )
+    long = "Must " + "x" * 20 + ". Then " + "y" * 20
+    files = spark.createDataFrame([("a.md", text), ("b.md", long), ("c.md", None), ("d.md", ""), ("e.md", "must" * 300)], "path string, text string")
+    got = rows(excerpts.promise_excerpts(files.filter("path = 'a.md'")).select("line", "heading", "text", "list_item"))
+    assert sorted(got) == [
+        (2, "Guide", "It should work on two lines", False),
+        (5, "Guide", "Added GET /x", False),
+        (6, "Guide", "added /y here", False),
+        (7, "Guide", "one must goes on", True),
+        (11, "Guide", "not indented will", False),
+        (18, "Guide", "it must be", False),
+        (20, "Features", "three", True),
+        (22, "Features", "four", True),
+        (23, "Features", "#no heading must", False),
+    ]
+    assert rows(excerpts.promise_excerpts(files.filter("path != 'a.md'"), most=40).select("path", "text")) == [("b.md", "Must " + "x" * 20 + ".")]
+    assert [r.line for r in excerpts.promise_excerpts(files, per_file=1).filter("path = 'a.md'").collect()] == [2]
+    assert rows(excerpts.promise_excerpts(files.limit(0))) == []
+
+
+def test_manifests(spark):
+    config = '{// "x"\n"compilerOptions": {"baseUrl": "", "paths": {"u//x/*": ["a/*", ""], "e": []}, /* , } */ "s": "a,}",},}'
+    files = [("tsconfig.json", config), ("a/JSCONFIG.json", '{"compilerOptions": {"baseUrl": "s"}}'), ("b/tsconfig.json", "{}"), ("c/tsconfig.json", "{"), ("d/tsconfig.json", None), ("xtsconfig.json", config)]
+    got = rows(manifests.module_aliases(spark.createDataFrame(files, "path string, text string")))
+    assert got == [("a/JSCONFIG.json", "a", "s", None, None, None), ("tsconfig.json", "", ".", "u//x/*", 0, "a/*")]
+    scripts = '{"scripts": {"a": "node \'x y.js\' || A=1 node ./b.js", "b": "echo \'; node b.js", "c": "node --x b.js; node", "d": "cross-env; X=1", "e": "node /b.js; node b.js/; node b.js"}}'
+    manifest = spark.createDataFrame([("package.json", scripts), ("q/package.json", '{"scripts": {"up": "node ../b.js && node ../../b.js"}}'), ("r/package.json", None), ("s/package.json", "[")], "path string, text string")
+    known = spark.createDataFrame([("x y.js",), ("b.js",)], "path string")
+    assert rows(manifests.script_entrypoints(manifest, known)) == [("b.js", "npm script a"), ("b.js", "npm script e"), ("b.js", "npm script q:up"), ("x y.js", "npm script a")]
+
+
+def test_partial_imports(spark):
+    sources = spark.createDataFrame([("m/a.py", "from .pkg.mod import x\nimport os\ns = 'lib/pkg'"), ("b.ts", "'./a b'; `m/a`\n\"m/a.py\""), ("ok.ts", "'m/a'"), ("n.ts", None)], "path string, text string")
+    found = spark.createDataFrame([("m/a.py", 2, 3), ("b.ts", 9, 9), ("b.ts", 9, 9), ("n.ts", 1, 1)], "path string, line_start int, line_end int")
+    imports = spark.createDataFrame([("b.ts", "./c", 1, 8), ("b.ts", "./c", 7, 7), ("b.ts", "./d", 8, 9), ("ok.ts", "./c", 1, 1)], "path string, source string, line_start int, line_end int")
+    files = spark.createDataFrame([(x,) for x in ("m/a.py", "m/pkg/mod.py", "lib/pkg/__init__.py", "b.ts", "c.ts", "d.ts", "index.ts")], "path string")
+    assert rows(resolve.partial_imports(sources, found, imports, files)) == [
+        ("b.ts", "c.ts", "recovered-import", 1),
+        ("b.ts", "m/a.py", "string-mention", 1),
+        ("m/a.py", "lib/pkg/__init__.py", "string-mention", 3),
+        ("m/a.py", "m/pkg/mod.py", "string-mention", 1),
+    ]

@@ -35,14 +35,56 @@ def script_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     that continue it, then those of a directory's index."""
     base = normal_path(F.concat_ws("/", directory(F.col("path")), F.col("source")))
     wanted = imports.filter(F.col("source").rlike(r"^\.\.?/") & ~F.col("source").endswith("/") & ~_is_python(F.col("path"))).select("path", "source").distinct()
-    wanted = wanted.withColumn("base", base).filter("base != ''").withColumn("extension", F.regexp_extract(basename(F.col("base")), r"^.+(\.[^.]*)$", 1))
+    return _script_files(wanted.withColumn("base", base), ["path", "source"], files)
+
+
+def _script_files(wanted: DataFrame, keys: list[str], files: DataFrame) -> DataFrame:
+    """``keys`` and the target that their ``base`` path stands for among ``files``."""
+    wanted = wanted.filter("base != ''").withColumn("extension", F.regexp_extract(basename(F.col("base")), r"^.+(\.[^.]*)$", 1))
     b, plain = F.col("base"), F.concat(_tier(F.col("base"), ("",), 0), _tier(F.col("base"), MODULE_EXTENSIONS, 1), _tier(F.concat("base", F.lit("/index")), MODULE_EXTENSIONS, 2))
     found = F.when(F.col("extension") == "", plain)
     for extension, put in SUBSTITUTIONS.items():
         found = found.when(F.lower("extension") == extension, _tier(F.substring(b, F.lit(1), F.length(b) - len(extension)), put, 0))
-    rows = wanted.select("path", "source", F.inline(found.otherwise(_tier(b, ("",), 0))))
+    rows = wanted.select(*keys, F.inline(found.otherwise(_tier(b, ("",), 0))))
     rows = rows.join(files.select(F.col("path").alias("target")), "target", "left_semi")
-    return first_tier(rows, ["path", "source"], "tier", "target").select("path", "source", "target")
+    return first_tier(rows, keys, "tier", "target").select(*keys, "target")
+
+
+def alias_targets(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, source, target): imports of scripts that aren't relative, by the module
+    configurations (``aliases``: path, directory, base_url, pattern, substitution, pos)
+    in the folders above, deepest first. A configuration with a pattern that fits decides,
+    if just one of its substitutions is a file; without one its base decides where that
+    leads to a file. A configuration's patterns travel as one list, so only those that
+    fit become rows; importers meet configurations by equal folders."""
+    key = ["path", "source", "config"]
+    wanted = imports.filter(~F.col("source").rlike(r"^\.\.?/|^$") & ~_is_python(F.col("path"))).select("path", "source").distinct()
+    parts = F.split(directory(F.col("path")), "/")
+    above = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))))
+    listed = F.collect_list(F.when(F.col("substitution").isNotNull(), F.struct("pattern", "pos", "substitution")))
+    configs = aliases.groupBy(F.col("path").alias("config"), "directory", "base_url").agg(listed.alias("patterns"))
+    pairs = wanted.withColumn("directory", F.explode(above)).join(configs, "directory")
+    source = F.col("source")
+
+    def fits(p):
+        pattern = p["pattern"]
+        one = source.startswith(F.substring_index(pattern, "*", 1)) & source.endswith(F.substring_index(pattern, "*", -1))
+        return F.when(F.instr(pattern, "*") == 0, pattern == source).otherwise((F.size(F.split(pattern, r"\*")) == 2) & one)
+
+    def put(p):
+        head, tail = F.length(F.substring_index(p["pattern"], "*", 1)), F.length(F.substring_index(p["pattern"], "*", -1))
+        wild = F.when(F.instr(p["pattern"], "*") == 0, "").otherwise(F.substring(source, head + 1, F.greatest(F.length(source) - head - tail, F.lit(0))))
+        return F.replace(p["substitution"], F.lit("*"), wild)
+
+    pairs = pairs.withColumn("puts", F.transform(F.filter("patterns", fits), put))
+    path_of = lambda c: normal_path(F.concat_ws("/", "directory", "base_url", c))
+    mapped = pairs.select(*key, F.posexplode("puts").alias("n", "put"), "directory", "base_url")
+    mapped = _script_files(mapped.select(*key, "n", path_of("put").alias("base")), [*key, "n"], files)
+    mapped = mapped.groupBy(*key).agg(F.when(F.count(F.lit(1)) == 1, F.min("target")).alias("target"))
+    plain = _script_files(pairs.filter("size(puts) = 0").select(*key, path_of("source").alias("base")), key, files)
+    decided = pairs.select(*key, F.length("directory").alias("depth"), (F.size("puts") > 0).alias("fit")).join(mapped.union(plain), key, "left").filter("fit or target is not null")
+    best = decided.groupBy("path", "source").agg(F.min_by("target", F.struct(-F.col("depth"), "config")).alias("target"))
+    return best.filter("target is not null")
 
 
 def python_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,9 +105,12 @@ def python_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return exactly_one(rows, ["path", "source"], "target").select("path", "source", "target")
 
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """IMPORTS edges of imports and re-exports (path, source, line_start) between files."""
+def import_edges(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """IMPORTS edges of imports and re-exports (path, source, line_start) between files,
+    with those by ``aliases`` of module configurations."""
     targets = script_targets(imports, files).unionByName(python_targets(imports, files))
+    if aliases is not None:
+        targets = targets.unionByName(alias_targets(imports, files, aliases))
     rows = imports.select("path", "source", "line_start").join(targets, ["path", "source"])
     named = lambda c: F.concat(F.lit("file:"), F.col(c))
     return rows.select(

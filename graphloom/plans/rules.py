@@ -232,3 +232,14 @@ def partial_imports(spark, d):
     found = p.filter("p_partkey % 5 = 0").select("path", line.alias("line_start"), line.alias("line_end"))
     imports = p.select("path", _text("./p%s", "p_partkey + 1").alias("source"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
     return resolve.partial_imports(p.select("path", text.alias("text")), found, imports, p.select("path")).select("path", "target", "kind", c("line").cast("int").alias("line"))
+
+
+@query("with p as (select p_partkey as k, 'a' || p_partkey % 7 || '/src/m' || p_partkey || '.ts' as path from part) select p.path, '@/m' || (p.k + 7) as source, q.path as target from p join p q on q.k = p.k + 7 where p.k % 7 not in (5, 6) union all select p.path, 'src/m' || (p.k + 7), q.path from p join p q on q.k = p.k + 7 where p.k % 7 = 5 union all select p.path, 'a0/src/m' || (p.k // 7 * 7), q.path from p join p q on q.k = p.k // 7 * 7 where p.k % 7 = 6")
+def alias_imports(spark, d):
+    """Seven packages: patterns in five, a base alone in the sixth, only the root's in the last."""
+    k = c("p_partkey")
+    p = _read(spark, d, "part").select(k, _text("a%s/src/m%s.ts", "p_partkey % 7", "p_partkey").alias("path"))
+    source = F.when(k % 7 == 5, _text("src/m%s", "p_partkey + 7")).when(k % 7 == 6, _text("a0/src/m%s", "p_partkey div 7 * 7")).otherwise(_text("@/m%s", "p_partkey + 7"))
+    text = F.when(c("id") < 5, '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lost/*", "src/*"]}}}').otherwise('{"compilerOptions": {"baseUrl": "."}}')
+    configs = spark.range(6).select(_text("a%s/tsconfig.json", "id").alias("path"), text.alias("text")).union(spark.range(1).select(F.lit("tsconfig.json"), F.lit('{"compilerOptions": {"baseUrl": "./"}}')))
+    return resolve.alias_targets(p.select("path", source.alias("source")), p.select("path"), manifests.module_aliases(configs))

@@ -183,3 +183,19 @@ def test_partial_imports(spark):
         ("m/a.py", "lib/pkg/__init__.py", "string-mention", 3),
         ("m/a.py", "m/pkg/mod.py", "string-mention", 1),
     ]
+
+
+def test_alias_imports(spark):
+    aliases = spark.createDataFrame(
+        [
+            ("a/tsconfig.json", "a", "src", "@x/*", "one/*", 0), ("a/tsconfig.json", "a", "src", "@x/*", "two/*", 1), ("a/tsconfig.json", "a", "src", "exact", "one/b.ts", 0), ("a/tsconfig.json", "a", "src", "p/*.ok", "one/*", 0),
+            ("a/tsconfig.json", "a", "src", "*/*", "one/b.ts", 0), ("jsconfig.json", "", ".", None, None, None), ("jsconfig.json", "", ".", "@y/*", "../*", 0),
+        ],
+        "path string, directory string, base_url string, pattern string, substitution string, pos int",
+    )
+    files = spark.createDataFrame([(x,) for x in ("a/src/one/b.ts", "a/src/one/c.ts", "a/src/two/c.ts", "a/src/d/index.ts", "e.ts", "b.ts")], "path string")
+    sources = ["@x/b", "@x/c", "@x/none", "exact", "p/b.ok", "d", "e", "@y/e", "./e", "x/y", None, ""]
+    asked = spark.createDataFrame([("a/z/q.ts", s) for s in sources] + [("b.ts", "e"), ("b.ts", "exact"), ("a/q.py", "e"), ("ab/q.ts", "@x/b")], "path string, source string")
+    q = "a/z/q.ts"
+    assert rows(resolve.alias_targets(asked, files, aliases)) == [(q, "@x/b", "a/src/one/b.ts"), (q, "d", "a/src/d/index.ts"), (q, "e", "e.ts"), (q, "exact", "a/src/one/b.ts"), (q, "p/b.ok", "a/src/one/b.ts"), ("b.ts", "e", "e.ts")]
+    assert rows(resolve.alias_targets(asked, files, aliases.limit(0))) == []

@@ -3,7 +3,7 @@ not make, what a run's own account gets wrong, and which files have changed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import EvidenceGraph
@@ -93,3 +93,14 @@ def coverage_map(recognized: DataFrame, references: DataFrame) -> DataFrame:
     left out. Those with none are the unclassified ones."""
     named = references.groupBy("id").agg(F.array_sort(F.collect_set("feature_id")).alias("feature_ids"))
     return recognized.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("feature_ids", F.array().cast("array<string>")).alias("feature_ids"))
+
+
+def support_accounted(classification: Column, reachability: Column, investigated: Column) -> Column:
+    """Whether a finding of coverage is support code that needs no feature: tests,
+    configuration, generated code, and infrastructure and utilities unless their
+    reachability is unknown; once investigated, those and dead code whatever theirs.
+    A null is no support; a null reachability counts as known, a null flag as not yet."""
+    always = classification.isin("test", "configuration", "generated/vendor")
+    helping = classification.isin("infrastructure", "utility")
+    later = F.coalesce(investigated, F.lit(False)) & (helping | (classification == "dead/unreachable"))
+    return F.coalesce(always | later | (helping & F.coalesce(reachability != "unknown", F.lit(True))), F.lit(False))

@@ -243,3 +243,14 @@ def alias_imports(spark, d):
     text = F.when(c("id") < 5, '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lost/*", "src/*"]}}}').otherwise('{"compilerOptions": {"baseUrl": "."}}')
     configs = spark.range(6).select(_text("a%s/tsconfig.json", "id").alias("path"), text.alias("text")).union(spark.range(1).select(F.lit("tsconfig.json"), F.lit('{"compilerOptions": {"baseUrl": "./"}}')))
     return resolve.alias_targets(p.select("path", source.alias("source")), p.select("path"), manifests.module_aliases(configs))
+
+
+_KINDS = ("feature", "infrastructure", "utility", "test", "configuration", "documentation", "dead/unreachable", "generated/vendor", "unknown")
+
+
+@query("select p_partkey, case p_partkey % 9 when 3 then true when 4 then true when 7 then true when 6 then p_size % 2 = 0 when 1 then p_size % 2 = 0 or p_size % 3 <> 0 when 2 then p_size % 2 = 0 or p_size % 3 <> 0 else false end as accounted from part")
+def support_accounted(spark, d):
+    """Nine classes in turn; even sizes are investigated, every third reachability unknown."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (c("p_partkey") % 9 + 1).cast("int"))
+    reach = F.when(c("p_size") % 3 == 0, "unknown").otherwise("test_only")
+    return _read(spark, d, "part").select("p_partkey", review.support_accounted(kind, reach, c("p_size") % 2 == 0).alias("accounted"))

@@ -199,3 +199,9 @@ def test_alias_imports(spark):
     q = "a/z/q.ts"
     assert rows(resolve.alias_targets(asked, files, aliases)) == [(q, "@x/b", "a/src/one/b.ts"), (q, "d", "a/src/d/index.ts"), (q, "e", "e.ts"), (q, "exact", "a/src/one/b.ts"), (q, "p/b.ok", "a/src/one/b.ts"), ("b.ts", "e", "e.ts")]
     assert rows(resolve.alias_targets(asked, files, aliases.limit(0))) == []
+
+
+def test_support_accounted(spark):
+    df = spark.createDataFrame([("utility", None, None, True), ("utility", "unknown", None, False), ("utility", "unknown", True, True), ("dead/unreachable", "x", False, False), ("dead/unreachable", None, True, True), (None, "x", True, False), ("test", "unknown", False, True), ("feature", "x", True, False)], "k string, r string, i boolean, want boolean")
+    got = df.select("want", review.support_accounted(F.col("k"), F.col("r"), F.col("i")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -50,7 +50,7 @@ def hashed(plans):
     return [p for p in plans if "BroadcastHashJoin" in p and "_part" not in p]
 
 
-@pytest.mark.parametrize("name", ["cluster_members", "block_connections"])
+@pytest.mark.parametrize("name", ["cluster_members", "block_connections", "canonical_feature_id"])
 def test_no_broadcast_by_file_size(planned, name):
     plans = planned(name)
     assert plans and hashed(plans) == []

@@ -50,7 +50,7 @@ def hashed(plans):
     return [p for p in plans if "BroadcastHashJoin" in p and "_part" not in p]
 
 
-@pytest.mark.parametrize("name", ["cluster_members", "block_connections", "canonical_feature_id", "capability_blocks", "cluster_owning_files", "coverage_summary", "exclusive_vs_shared", "feature_file_consumers", "feature_file_owners", "map_violations", "shared_subsystems", "subsystem_labels", "unassigned_code", "unused_type_aliases", "block_sizes", "cluster_statistics", "feature_impact", "feature_ports", "removal_impact", "shared_and_baseplate_blocks"])
+@pytest.mark.parametrize("name", ["cluster_members", "block_connections", "canonical_feature_id", "capability_blocks", "cluster_owning_files", "coverage_summary", "exclusive_vs_shared", "feature_file_consumers", "feature_file_owners", "map_violations", "shared_subsystems", "subsystem_labels", "unassigned_code", "unused_type_aliases", "block_sizes", "cluster_statistics", "feature_impact", "feature_ports", "removal_impact", "shared_and_baseplate_blocks", "shared_subsystem_nodes"])
 def test_no_broadcast_by_file_size(planned, name):
     plans = planned(name)
     assert plans and hashed(plans) == []

@@ -23,6 +23,7 @@ def found(spark):
 
 @pytest.mark.parametrize(("part", "made", "left"), [
     ("membership", "map-membership", {"map-where", "map-connections"}),
+    ("sizes", "map-membership", {"map-where", "map-connections"}),
     ("connections", "map-connections", set()),
 ])
 def test_map_makes_only_what_is_asked_for(found, monkeypatch, part, made, left):

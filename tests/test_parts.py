@@ -22,6 +22,7 @@ def found(spark):
 
 
 @pytest.mark.parametrize(("part", "made", "left"), [
+    ("shared", "map-blocks", {"map-placed", "map-membership", "map-where", "map-connections"}),
     ("membership", "map-membership", {"map-where", "map-connections"}),
     ("sizes", "map-membership", {"map-where", "map-connections"}),
     ("connections", "map-connections", set()),

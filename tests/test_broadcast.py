@@ -54,3 +54,9 @@ def hashed(plans):
 def test_no_broadcast_by_file_size(planned, name):
     plans = planned(name)
     assert plans and hashed(plans) == []
+
+
+def test_ledger_rounds_are_not_broadcast(planned):
+    """What every query of clusters runs first, and where they ran out of the driver's memory."""
+    plans = planned("bfs_levels")
+    assert any("Join" in p for p in plans) and hashed(plans) == []
